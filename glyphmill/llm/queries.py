@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.llm.decontamination import OP9_SQL, op9_decontamination
+from glyphmill.llm.mixing import OP4_SQL, op4_mixing
+from glyphmill.llm.sharding import op6_sharding
 from glyphmill.llm.simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": op10_simhash}
+    return {
+        "op4_mixing": op4_mixing,
+        "op6_sharding": op6_sharding,
+        "op9_decontamination": op9_decontamination,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL, "op9_decontamination": OP9_SQL}
