@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
+
 
 from glyphmill.llm import decontamination as dec
 
@@ -76,3 +76,16 @@ def test_digest(spark, tmp_path):
     b.write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r.items_sha256 for r in dec.op9_decontamination(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"10,9").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_oracle(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    got = dec.op9_decontamination(spark, d)
+    want = con.sql(dec.OP9_SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
