@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.decontamination import OP9_SQL, op9_decontamination
 from glyphmill.llm.mixing import OP4_SQL, op4_mixing
+from glyphmill.llm.quality_model import op2_quality_model
+from glyphmill.llm.quality_rules import OP3_SQL, op3_quality_rules
 from glyphmill.llm.sharding import op6_sharding
 from glyphmill.llm.simhash import op10_simhash
+from glyphmill.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_model": op2_quality_model,
+        "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
         "op6_sharding": op6_sharding,
+        "op8_toxicity": op8_toxicity,
         "op9_decontamination": op9_decontamination,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontamination": OP9_SQL}
