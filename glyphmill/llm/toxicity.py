@@ -85,7 +85,18 @@ def marks_udf(text: pa.Array) -> pa.Array:
     return pa.array([list(marks(words(t))) for t in utf8(text)], pa.list_(pa.binary()))
 
 
-def _presence(rows: list[np.ndarray], m: int) -> np.ndarray:
+def _places(features: list[bytes]):
+    """Column function text -> positions in `features` of those that it has."""
+    index = {f: i for i, f in enumerate(features)}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(text: pa.Array) -> pa.Array:
+        return pa.array([sorted(index[f] for f in index.keys() & marks(words(t))) for t in utf8(text)], pa.list_(pa.int32()))
+
+    return places
+
+
+def _presence(rows: list[list[int]], m: int) -> np.ndarray:
     out = np.zeros((len(rows), m), np.float32)
     for i, at in enumerate(rows):
         out[i, at] = 1
@@ -106,33 +117,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     pos = own.join(ids, "id").dropDuplicates(["text"])
     n = pos.count()
     seen = pos.select(F.explode(marks_udf("text")).alias("w")).groupBy("w").count().where(F.col("count") >= max(LEAST, LEAST_SHARE * n))
-    vocabulary = [bytes(r.w) for r in seen.orderBy(F.desc("count"), "w").limit(CANDIDATES).collect()]
+    candidates = {bytes(r.w): r["count"] for r in seen.orderBy(F.desc("count"), "w").limit(CANDIDATES).collect()}
     total = docs.count()
-    if not vocabulary or not total:
+    if not candidates or not total:
         return nothing
-    index = {w: i for i, w in enumerate(vocabulary)}
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def places(text: pa.Array) -> pa.Array:
-        return pa.array([[index[f] for f in index.keys() & marks(words(t))] for t in utf8(text)], pa.list_(pa.int32()))
-
     part = min(1.0, UNLABELLED / total)
     drawn = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = [[np.array(r.at, np.int64) for r in df.select(places("text").alias("at")).orderBy(F.xxhash64("at")).collect()] for df in (pos, drawn)]
-    n_pos, n_unl = (max(1, len(r)) for r in rows)
-    count = [np.bincount(np.concatenate([*r, np.empty(0, np.int64)]), minlength=len(vocabulary)) for r in rows]
-    p, u = count[0] / n_pos, (count[1] + 0.5) / (n_unl + 1)
-    z = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / n_pos)
+    names = list(candidates)
+    counted = drawn.select(F.explode(F.concat(F.array(F.lit(-1)), _places(names)("text"))).alias("at")).groupBy("at").count().collect()
+    common = {r["at"]: r["count"] for r in counted}  # -1: all rows
+    n_unl = common.get(-1, 0)
+    p = np.array([candidates[f] for f in names]) / n
+    u = (np.array([common.get(i, 0) for i in range(len(names))]) + 0.5) / (n_unl + 1)
+    z = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / n)
     # features that make a text more likely toxic than not
     good = np.flatnonzero((prior * p / u >= 0.5) & (z > 3))
-    good = good[np.argsort(-z[good], kind="stable")][:VOCABULARY]
-    if not len(good) or not rows[1]:
+    names = [names[i] for i in good[np.argsort(-z[good], kind="stable")][:VOCABULARY]]
+    if not names or not n_unl:
         return nothing
-    place = np.full(len(vocabulary), -1)
-    place[good] = np.arange(len(good))
-    x = [_presence([place[a][place[a] >= 0] for a in r], len(good)) for r in rows]
+    places = _places(names)
+    x = [_presence([r["at"] for r in df.select(places("text").alias("at")).orderBy(F.xxhash64("at")).collect()], len(names)) for df in (pos, drawn)]
     weights, bias = fit(x[0], x[1], prior)
-    return Model(bias, {vocabulary[g]: float(w) for g, w in zip(good, weights, strict=True)})
+    return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True)})
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
