@@ -28,7 +28,9 @@ from glyphmill.llm.common import scratch_root, table
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 16
 END_ID = 2
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
+#: Signs that may follow a plain word, none of which the tokenizer's pattern treats by itself.
+POINTS = ".,;:!?*#$%&|"
 BEYOND_LATIN, SEPARATORS = re.compile("[\u0250-\U0010ffff]"), re.compile("[\x1c-\x1f]")
 NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 BLOCK_SCHEMA = "part int, seq int, n_docs int, n_tokens long, width int, doc_ids array<long>, low_bits int, low binary, high binary, ids binary"
@@ -89,8 +91,8 @@ class Encoder:
     """Ids of texts. White space separates the tokenizer's words, so ids are looked up by word.
 
     A new word goes to the tokenizer once. Plain words (letters of the Latin blocks only) are sent many in one
-    string and told apart by the vocabulary's word ends; a full stop or comma after a plain word is a word of
-    its own to the tokenizer. All others are sent one by one.
+    string and told apart by the vocabulary's word ends; the POINTS after a plain word are a word of their own to
+    the tokenizer. All others are sent one by one.
     """
 
     def __init__(self, path: str):
@@ -102,15 +104,15 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.points = {p: self._alone([p])[0] for p in ".,"}
+        self.points: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def _alone(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Of plain words: one string, parted behind each id that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             return self._alone(words)
@@ -121,10 +123,10 @@ class Encoder:
         """Put words (lower-cased where that is safe) into the cache."""
         plain, odd, pointed = set(), [], []
         for w in words:
-            core = w[:-1] if w[-1] in ".," else w
-            if core.isalpha() and core < "ɐ" and max(core) < "ɐ":
-                if core is not w:
-                    pointed.append(w)
+            core = w.rstrip(POINTS)
+            if core.isalpha() and (core.isascii() or not BEYOND_LATIN.search(core)):
+                if len(core) < len(w):
+                    pointed.append((w, core))
                 if core not in self.cache:
                     plain.add(core)
             else:
@@ -133,9 +135,11 @@ class Encoder:
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             self.cache.update(zip(part, self._together(part), strict=True))
-        self.cache.update(zip(odd, self._alone(odd), strict=True) if odd else ())
-        for w in pointed:
-            self.cache[w] = self.cache[w[:-1]] + self.points[w[-1]]
+        tails = {w[len(core) :] for w, core in pointed}.difference(self.points)
+        for known, new in ((self.cache, odd), (self.points, list(tails))):
+            known.update(zip(new, self._alone(new), strict=True) if new else ())
+        for w, core in pointed:
+            self.cache[w] = self.cache[core] + self.points[w[len(core) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
