@@ -6,12 +6,13 @@ place. Every line is therefore entered under its segments, with its length, and
 from its own down to t less, at the few starts where a segment can lie given how many edits may fall before
 and behind it. A pair that meets is verified by banded bit-parallel edit distance.
 
-Equal lines are one before the join. A pair only comes out of it if the counts of eight letters allow t edits,
+Equal lines are one before the join. A pair only comes out of it if the counts of twelve letters allow t edits,
 which the join itself tests, so that variants of one line that share most segments don't all become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,9 @@ from glyphmill.llm.common import components, materialize, table
 
 #: Edits allowed, and the shortest line to which they are; shorter lines are duplicates only if equal.
 THRESHOLD, SHORTEST = 2, 20
-LETTERS = "eanitrso"
-#: Of the packed column: 6 bits for each letter's count, 15 for the length (longer lines count modulo), 1 spare.
-COUNT_BITS, LENGTH_BITS = 6, 15
+LETTERS = "eanitrsohdlu"
+#: Of the packed column: 4 bits for each letter's count, 15 for the length (both modulo), 1 spare.
+COUNT_BITS, LENGTH_BITS = 4, 15
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,6 +85,11 @@ def _length(packed: Column) -> Column:
     return F.shiftrightunsigned(packed, COUNT_BITS * len(LETTERS))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: lambdas share no subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def within(a: str, b: str, t: int) -> Column:
     """Whether the edit distance of string columns a and b is at most t.
 
@@ -91,11 +97,10 @@ def within(a: str, b: str, t: int) -> Column:
     column through a band around the diagonal, the band's differences held as bits of two numbers: first along
     the band's upper edge, then along the last row.
     """
-    w = 4 * t + 4
+    w = 2 * t + 2
     full, top = (1 << w) - 1, 1 << (w - 1)
-    halves = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    long_first = F.length(a) >= F.length(b)
-    s = F.struct(F.when(long_first, F.col(a)).otherwise(F.col(b)).alias("x"), F.when(long_first, F.col(b)).otherwise(F.col(a)).alias("y"))
+    zero = F.lit(0).cast("long")
+    halves = F.array(*[F.lit(1 << k) for k in range(LENGTH_BITS + 5, -1, -1)])
 
     def common(x: Column, y: Column, head: bool) -> Column:
         def same(n: Column) -> Column:
@@ -105,49 +110,62 @@ def within(a: str, b: str, t: int) -> Column:
 
     def cut(p: Column, head: bool) -> Column:
         """p without the common start (or end) of its x and y."""
-        n = common(p["x"], p["y"], head)
-        both = F.transform(F.array(p["x"], p["y"]), lambda v: F.when(n == 0, v).when(F.lit(head), v.substr(n + 1, F.length(v))).otherwise(F.left(v, F.length(v) - n)))
-        return F.struct(both[0].alias("x"), both[1].alias("y"))
+
+        def rest(v: Column, n: Column) -> Column:
+            return v.substr(n + 1, F.length(v)) if head else F.left(v, F.length(v) - n)
+
+        return _let(common(p["x"], p["y"], head), lambda n: F.struct(rest(p["x"], n).alias("x"), rest(p["y"], n).alias("y")))
 
     def distance(p: Column) -> Column:
         nx, ny = F.length(p["x"]), F.length(p["y"])
         pad = F.array_repeat(F.lit(""), w)
-        xs = F.concat(pad, F.split(p["x"], ""), pad)  # one character each
-        edge = nx - t
-
-        def step(acc: Column, i: Column) -> Column:
-            c = p["y"].substr(i + 1, F.lit(1))
-            # bit k stands for the character of x at i + t + 1 - w + k
-            near = F.slice(xs, i + (t + 2), w)
-            match = F.aggregate(F.transform(near, lambda v, k: F.when(v == c, F.expr("1L") * F.pow(F.lit(2.0), k).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(v))
-            vp, vn = acc["vp"], acc["vn"]
-            d0 = ((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(full))
-            hp = vn.bitwiseOR(F.lit(full).bitwiseXOR(d0.bitwiseOR(vp)))
-            hn = d0.bitwiseAND(vp)
-            last = F.pow(F.lit(2.0), w - 2 - (i - edge)).cast("long")
-            along = F.when(d0.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
-            across = F.when(hp.bitwiseAND(last) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(last) != 0, 1).otherwise(0)
-            dist = acc["dist"] + F.when(i < edge, along).otherwise(across)
-            down = F.shiftrightunsigned(d0, 1)
-            return F.struct(hn.bitwiseOR(F.lit(full).bitwiseXOR(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), dist.alias("dist"))
-
-        start = F.struct(F.lit(full - ((1 << (w - t - 1)) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(t).alias("dist"))
-        steps = F.when(ny > 0, F.sequence(F.lit(0), ny - 1)).otherwise(F.array().cast("array<int>"))
-        found = F.aggregate(steps, start, step, lambda acc: acc["dist"])
-        return F.when(nx - ny > t, F.lit(t + 1)).when(nx <= t, F.lit(0)).when(ny == 0, nx).otherwise(found)
-
-    core = F.transform(F.transform(F.array(s), lambda p: cut(p, True)), lambda p: cut(p, False))
-    return F.transform(core, distance)[0] <= t
+
+        def scan(q: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                # bit k stands for the character of x at i + t + 1 - w + k
+                bits = F.aggregate(F.slice(q["xs"], i + (t + 2), w), F.struct(zero.alias("m"), F.lit(1).cast("long").alias("bit")), lambda m, v: F.struct(F.when(v == q["ys"][i], m["m"] + m["bit"]).otherwise(m["m"]).alias("m"), (m["bit"] * 2).alias("bit")), lambda m: m["m"])
+                vp, vn = acc["vp"], acc["vn"]
+
+                def rows(d0: Column) -> Column:
+                    return _let(F.struct(d0.alias("d0"), vn.bitwiseOR(F.lit(full).bitwiseXOR(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn")), down)
+
+                def down(h: Column) -> Column:
+                    d0, hp, hn = h["d0"], h["hp"], h["hn"]
+                    below = F.shiftrightunsigned(d0, 1)
+                    # along the last row the bit that counts moves down by one a column
+                    last = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(w - 2, -1, -1)]), F.greatest(i - q["edge"], F.lit(0)) + 1)
+                    along = F.when(d0.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
+                    across = F.when(hp.bitwiseAND(last) != 0, 1).when(hn.bitwiseAND(last) != 0, -1).otherwise(0)
+                    return F.struct(hn.bitwiseOR(F.lit(full).bitwiseXOR(below.bitwiseOR(hp))).alias("vp"), below.bitwiseAND(hp).alias("vn"), (acc["dist"] + F.when(i < q["edge"], along).otherwise(across)).alias("dist"))
+
+                moved = _let(bits, lambda x: _let((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full)), rows))
+                return F.when(acc["dist"] > 2 * t, acc).otherwise(moved)  # the last row has t steps down at most
+
+            start = F.struct(F.lit(full - ((1 << (w - t - 1)) - 1)).cast("long").alias("vp"), zero.alias("vn"), F.lit(t).alias("dist"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(q["ys"]) - 1), start, step, lambda acc: acc["dist"])
+
+        chars = F.struct(F.concat(pad, F.split(p["x"], ""), pad).alias("xs"), F.split(p["y"], "").alias("ys"), (nx - t).alias("edge"))
+        return F.when(nx - ny > t, F.lit(t + 1)).when(nx <= t, F.lit(0)).when(ny == 0, nx).otherwise(_let(chars, scan))
+
+    longer = F.length(a) >= F.length(b)
+    pair = F.struct(F.when(longer, F.col(a)).otherwise(F.col(b)).alias("x"), F.when(longer, F.col(b)).otherwise(F.col(a)).alias("y"))
+    return _let(_let(_let(pair, lambda p: cut(p, True)), lambda p: cut(p, False)), distance) <= t
 
 
 def distinct_lines(docs: DataFrame, t: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, packed, first, n, k0, k1, ...): one row for each different line, with its probes' keys."""
+    """(h, packed, k0, k1, ...): one row for each different line, with its probes' keys."""
     lines = lines_of(docs, id_col, text_col).withColumn("n_chars", F.length("line"))
     line, n = F.col("line"), F.col("n_chars")
-    keyed = lines.select(F.xxhash64("line").alias("h"), "doc_id", "line_no", _packed(line, n).alias("packed"), *[_key(line, n, p, t).alias(f"k{i}") for i, p in enumerate(probes(t))])
+    keyed = lines.select(F.xxhash64("line").alias("h"), _packed(line, n).alias("packed"), *[_key(line, n, p, t).alias(f"k{i}") for i, p in enumerate(probes(t))])
     # all rows of a line agree, so a minimum is its value; numbers keep the grouping in a hash table
-    firsts = [F.min(c).alias(c) for c in keyed.columns if c == "packed" or c[0] == "k"]
-    return keyed.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *firsts)
+    return keyed.groupBy("h").agg(*[F.min(c).alias(c) for c in keyed.columns[1:]])
+
+
+def first_places(occurrences: DataFrame) -> DataFrame:
+    """(h, first_doc, first_line): where each line is first, null ids last. Grouped by document first, as one row of two numbers can't be compared in a hash table."""
+    by_doc = occurrences.groupBy("h", "doc_id").agg(F.min("line_no").alias("line_no"))
+    lone = F.min("line_no")
+    return by_doc.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("line_no", "doc_id"), lone).alias("first_line"))
 
 
 def links(docs: DataFrame, distinct: DataFrame, t: int, id_col: str, text_col: str) -> DataFrame:
@@ -175,7 +193,7 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, id_col: str = "doc_id", tex
     """(doc_id, line_no, class_doc_id, class_line_no, n_links, kept), one row for each line that holds a word.
 
     A class is what links join, directly or through others; it is named by its first line in the order of id
-    (null ids first) and line number, and that line is kept. n_links counts the different lines within t edits.
+    (null ids last) and line number, and that line is kept. n_links counts the different lines within t edits.
     Lines are parted by line feeds, numbered from 0, and compared as they are; blank lines are in no class and
     not returned. Lines of fewer than SHORTEST characters are linked only to equal ones. Null and empty texts
     have no lines. The rows of a repeated document id are told apart by nothing else, so both keep a line that
@@ -185,14 +203,17 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, id_col: str = "doc_id", tex
         raise ValueError("t must be 1 to 6: wider bands don't fit the bits")
     distinct = materialize(distinct_lines(docs, t, id_col, text_col), "distinct")
     found = links(docs, distinct, t, id_col, text_col)
+    occurrences = materialize(lines_of(docs, id_col, text_col).select("doc_id", "line_no", F.xxhash64("line").alias("h")), "occurrences")
+    places = first_places(occurrences)
     degree = found.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
-    roots = components(found).withColumnRenamed("node", "h").join(degree, "h", "left")
-    known = distinct.select("h", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    names = known.where("n_links > 0").groupBy("root").agg(F.min("first").alias("name"))
-    known = known.join(names, "root", "left").select("h", F.coalesce("name", "first").alias("name"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    occurrences = lines_of(docs, id_col, text_col).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
-    kept = F.col("name.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("name.line_no") == F.col("line_no"))
-    return occurrences.join(known, "h").select("doc_id", "line_no", F.col("name.doc_id").alias("class_doc_id"), F.col("name.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
+    linked = materialize(components(found).withColumnRenamed("node", "h").join(degree, "h").join(places, "h"), "linked")
+    by_place = F.struct(F.col("first_doc").isNull().alias("n"), "first_doc", "first_line")
+    names = linked.groupBy("root").agg(F.min_by(F.struct("first_doc", "first_line"), by_place).alias("name"))
+    known = linked.join(names, "root").select("h", "n_links", "name")
+    name = F.coalesce("name", F.struct("first_doc", "first_line"))
+    rows = occurrences.join(places, "h").join(known, "h", "left").withColumn("name", name)
+    kept = F.col("name.first_doc").eqNullSafe(F.col("doc_id")) & (F.col("name.first_line") == F.col("line_no"))
+    return rows.select("doc_id", "line_no", F.col("name.first_doc").alias("class_doc_id"), F.col("name.first_line").alias("class_line_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, t: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,4 +102,4 @@ def test_cleaned_texts_and_empty_table(spark):
 
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "one line of some length here"), (2, "one line of some length here"), (2, "one line of some length here")], "doc_id long, text string")
-    assert [(r.class_doc_id, r.kept) for r in ld.dedup_lines(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [(None, True), (None, False), (None, False)]
+    assert [(r.class_doc_id, r.kept) for r in ld.dedup_lines(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [(2, False), (2, True), (2, True)]
