@@ -13,6 +13,7 @@ from glyphmill.llm.quality_model import op2_quality_model
 from glyphmill.llm.quality_rules import OP3_SQL, op3_quality_rules
 from glyphmill.llm.sharding import op6_sharding
 from glyphmill.llm.simhash import op10_simhash
+from glyphmill.llm.substring_dedup import op5_substring_dedup
 from glyphmill.llm.token_store import op7_token_store
 from glyphmill.llm.toxicity import op8_toxicity
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_model": op2_quality_model,
         "op3_quality_rules": op3_quality_rules,
         "op4_mixing": op4_mixing,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_sharding": op6_sharding,
         "op7_token_store": op7_token_store,
         "op8_toxicity": op8_toxicity,
