@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as textual
-from glyphmill.operators import clustering, joins, layout, measures, pages, recipes, verdicts
+from glyphmill.operators import clustering, docx, joins, layout, measures, pages, recipes, verdicts
 from glyphmill.plans.registry import inline, query, values
 from glyphmill.sources.tables import html_blocks, table, transcript
 
@@ -397,3 +397,13 @@ def part_locate(spark: SparkSession, d: str) -> DataFrame:
     probes = parts.select("l_orderkey", (F.col("part_start") + F.floor(F.col("len") / 2)).alias("part_start"), "part")
     found = joins.as_of(probes, parts.select("l_orderkey", "part_start", F.struct("part", "part_start").alias("home")), ["l_orderkey"], "part_start", "home", "part")
     return found.select("l_orderkey", "as_of_home.part", "as_of_home.part_start", F.col("part_start").alias("probe"), (F.col("part_start") - F.col("as_of_home.part_start")).alias("local"))
+
+
+@query(f"""WITH b AS ({TURNS_SQL}) SELECT conv_id, count(DISTINCT page) AS page_count, bool_or(trim(text) <> '') AS has_text, count(*) FILTER (kind = 'table') AS tables FROM b GROUP BY conv_id""")
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    return docx.facts(_turn_blocks(spark, d), "conv_id")
+
+
+@query()
+def export_docx(spark: SparkSession, d: str) -> DataFrame:
+    return docx.documents(_turn_blocks(spark, d), "conv_id").select("conv_id", F.length("content").alias("n_bytes"), "crc", "reason")

@@ -153,3 +153,21 @@ def test_incremental_index(spark, tmp_path):
     assert (indexing.indexed(spark, out).count(), indexing.failed(spark, out).count()) == (3, 2)
     again = indexing.retry_failed(spark, out, spark.createDataFrame([(3, "d\ne", "en", "s", 3), (9, "no", "en", "s", 2)], schema))
     assert again.count() == 2
+
+
+def test_docx_package(spark):
+    import io
+    import zipfile
+
+    from glyphmill.operators import docx
+
+    rows = [(1, 0, 1, "heading", 1, "A & B"), (1, 0, 2, "list", None, "- x\r\ny"), (1, 1, 1, "paragraph", None, "<z>"), (2, 0, 1, "paragraph", None, "bad \x01")]
+    df = spark.createDataFrame(rows, "doc int, page int, ord int, kind string, level int, text string")
+    got = {r.doc: r for r in docx.documents(df, "doc").collect()}
+    assert got[2].content is None and got[2].reason == "illegal character"
+    z = zipfile.ZipFile(io.BytesIO(bytes(got[1].content)))
+    xml = z.read("word/document.xml").decode()
+    assert "A &amp; B" in xml and "&lt;z&gt;" in xml and 'w:type="page"' in xml and xml.count("<w:p>") == 4
+    assert all(i.date_time == docx.DATE for i in z.infolist())
+    assert docx.documents(df.repartition(5), "doc").where("doc = 1").first().crc == got[1].crc
+    assert [(r.page_count, r.has_text, r.tables) for r in docx.facts(df, "doc").orderBy("doc").collect()] == [(2, True, 0), (1, True, 0)]
