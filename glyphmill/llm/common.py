@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,6 +28,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SWEPT: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder of the shared one; the folder goes when the driver's Python ends."""
+    home = f"{scratch_root(spark)}/glyphmill/{spark.sparkContext.applicationId}"
+    if home not in _SWEPT:
+        _SWEPT.add(home)
+        atexit.register(_delete, spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the session may be gone, and a leftover harms nothing
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -33,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and stays columnar.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
@@ -42,11 +62,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; only for tables that no live plan reads."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "scratch_path", None):
+        _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import scratch_root, table
+from glyphmill.llm.common import scratch_path, table
 
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 16
 END_ID = 2
@@ -258,10 +258,8 @@ def token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    path = f"{scratch_root(spark)}/glyphmill/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_index(spark, path)
