@@ -388,11 +388,11 @@ def relocate_unique(spark: SparkSession, d: str) -> DataFrame:
     return joins.unique_match(rows, others, ["k"], "x", 300).select("row_id", "other_id")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 60 AS len FROM lineitem), o AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t)
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 60 AS len FROM lineitem), o AS (SELECT *, coalesce(sum(len + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t)
 SELECT l_orderkey, l_linenumber AS part, CAST(off AS BIGINT) AS part_start, CAST(off + len // 2 AS BIGINT) AS probe, CAST(len // 2 AS BIGINT) AS local FROM o""")
 def part_locate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_partkey") % 60).alias("len"))
-    before = W.partitionBy("l_orderkey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("l_orderkey").orderBy("part", "len").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.withColumn("part_start", F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0)))
     probes = parts.select("l_orderkey", (F.col("part_start") + F.floor(F.col("len") / 2)).alias("part_start"), "part")
     found = joins.as_of(probes, parts.select("l_orderkey", "part_start", F.struct("part", "part_start").alias("home")), ["l_orderkey"], "part_start", "home", "part")
