@@ -18,6 +18,7 @@ from glyphmill.llm.common import WORD, materialize, table
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A hash has 60 bits, found 15 at a time.
 HASH_BITS, STEP = 60, 15
+SALTS = 64
 
 
 def _key(source: Column) -> Column:
@@ -68,9 +69,10 @@ def thresholds(sized: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame
     at = goal.where("budget > 0").select("src", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))
     for bits in range(STEP, HASH_BITS + 1, STEP):
         down = HASH_BITS - bits
-        inside = sized.select("src", "h", "size") if bits == STEP else sized.select("src", "h", "size", F.shiftright("h", down + STEP).alias("prefix"))
-        on = ["src"] if bits == STEP else ["src", "prefix"]
-        sums = inside.join(at.select(*on), on, "left_semi").groupBy("src", F.shiftright("h", down).alias("bucket")).agg(F.sum("size").alias("words"))
+        inside = sized.select("src", "h", "size", F.shiftright("h", down + STEP).alias("prefix"))
+        if bits > STEP:  # only the bucket where the budget ends is divided again
+            inside = inside.join(at.select("src", "prefix"), ["src", "prefix"], "left_semi")
+        sums = inside.groupBy("src", F.shiftright("h", down).alias("bucket")).agg(F.sum("size").alias("words"))
         run = F.sum("words").over(W.partitionBy("src").orderBy("bucket"))
         ends = sums.join(at.select("src", "budget", "base"), "src").withColumn("upto", F.col("base") + run)
         # the last bucket stands in where rounding leaves the budget a little above all words
@@ -88,6 +90,12 @@ def _times(most: int) -> Column:
     return F.least(F.col("copies") + more.cast("long"), F.lit(most)).cast("int")
 
 
+def _with_goal(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """rows joined with their source's row of dealt, by salted keys: a hot source is dealt over SALTS tasks."""
+    salted = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod("h", F.lit(SALTS).cast("long"))).join(salted, ["src", "salt"]).drop("salt")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken), one row per document; taken is size times 0 to `most`.
 
@@ -97,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
     dealt = thresholds(sized, targets(sized, weights, share, most), most)
-    return sized.join(dealt, "src").select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _times(most)).alias("taken"))
+    return _with_goal(sized, dealt).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _times(most)).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -105,7 +113,7 @@ def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
     dealt = thresholds(sized, targets(sized, weights, share, most), most)
     whole = docs.select(F.struct("*").alias("d")).select("d", _key(F.col("d")[source_col]).alias("src"), _hash(F.col("d")[id_col]).alias("h"))
-    taken = whole.join(dealt, "src").select("d", _times(most).alias("times")).where("times > 0")
+    taken = _with_goal(whole, dealt).select("d", _times(most).alias("times")).where("times > 0")
     return taken.select("d", F.explode(F.expr("array_repeat(0, times)"))).select("d.*")
 
 
