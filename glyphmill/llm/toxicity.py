@@ -4,9 +4,9 @@ Only confirmed toxic texts are used as examples; everything else is unlabelled t
 too, at a known rate, the class prior. The risk of a classifier is
     prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)]),
 the second term standing for the negatives that nobody labelled. Where it falls below zero, which only
-overfitting can do, the step goes the other way. The classifier is linear over the presence of words, word
-beginnings (which inflected words share) and their repeats that the positives hold far more often than the
-unlabelled text does.
+overfitting can do, the step goes the other way. The classifier is linear over the rates of words and word
+beginnings (which inflected words share) that the positives hold, or hold often, far more than the unlabelled
+text does.
 """
 
 from __future__ import annotations
@@ -31,13 +31,31 @@ LEAST, LEAST_SHARE, RIDGE = 3, 0.01, 0.03
 PRIOR = 0.1
 
 
-def marks(found: list[bytes]) -> set[bytes]:
-    """Features of a text's words: each word and each of its beginnings of 4 to 8 bytes, with how often (1, 2, 3 or more)."""
-    counts: dict[bytes, int] = {}
+#: A rate counts per hundred words, a text being this much longer; DENSE is a high one, MOST where it is cut off.
+LONGER, DENSE, MOST = 60, 0.6, 3.0
+
+
+def counts(found: list[bytes]) -> dict[bytes, int]:
+    """How often each word, and each of the words' beginnings of 4 to 8 bytes, stands in a text."""
+    out: dict[bytes, int] = {}
     for w in found:
         for t in {w + b"=", w[:4], w[:5], w[:6], w[:7], w[:8]} if len(w) > 3 else (w + b"=",):
-            counts[t] = counts.get(t, 0) + 1
-    return {t + b"123"[k : k + 1] for t, n in counts.items() for k in range(min(n, 3))}
+            out[t] = out.get(t, 0) + 1
+    return out
+
+
+def rate(n: int, n_words: int) -> float:
+    return min(100 * n / (n_words + LONGER), MOST)
+
+
+def marks(found: list[bytes]) -> list[bytes]:
+    """What a text is searched for tell-tale features by: each is there (1), or there often (2)."""
+    out = []
+    for t, n in counts(found).items():
+        out.append(t + b"1")
+        if rate(n, len(found)) >= DENSE:
+            out.append(t + b"2")
+    return out
 
 
 @dataclass
@@ -48,10 +66,10 @@ class Model:
     def score(self, text: bytes | None) -> float:
         """Only words that begin like some feature are looked at."""
         if not hasattr(self, "starts"):
-            self.starts = {f[:-1].removesuffix(b"=")[:4] for f in self.weights}
-        starts = self.starts
-        found = marks([w for w in words(text) if w[:4] in starts])
-        raw = self.bias + sum(self.weights[f] for f in self.weights.keys() & found)
+            self.starts = {f.removesuffix(b"=")[:4] for f in self.weights}
+        starts, found = self.starts, words(text)
+        seen = counts([w for w in found if w[:4] in starts])
+        raw = self.bias + sum(self.weights[f] * rate(seen[f], len(found)) for f in self.weights.keys() & seen.keys())
         return float(1 / (1 + np.exp(-raw)))
 
 
@@ -82,24 +100,40 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate:
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
 def marks_udf(text: pa.Array) -> pa.Array:
-    return pa.array([list(marks(words(t))) for t in utf8(text)], pa.list_(pa.binary()))
+    return pa.array([marks(words(t)) for t in utf8(text)], pa.list_(pa.binary()))
 
 
-def _places(features: list[bytes]):
-    """Column function text -> positions in `features` of those that it has."""
-    index = {f: i for i, f in enumerate(features)}
+def _places(names: list[bytes]):
+    """Column function text -> positions in `names` of the marks that it has."""
+    index = {f: i for i, f in enumerate(names)}
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def places(text: pa.Array) -> pa.Array:
-        return pa.array([sorted(index[f] for f in index.keys() & marks(words(t))) for t in utf8(text)], pa.list_(pa.int32()))
+        return pa.array([[index[f] for f in marks(words(t)) if f in index] for t in utf8(text)], pa.list_(pa.int32()))
 
     return places
 
 
-def _presence(rows: list[list[int]], m: int) -> np.ndarray:
+def _rates(features: list[bytes]):
+    """Column function text -> rates of `features`, position and rate in turn, those that are there."""
+    index = {f: i for i, f in enumerate(features)}
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def rates(text: pa.Array) -> pa.Array:
+        rows = []
+        for t in utf8(text):
+            found = words(t)
+            seen = counts(found)
+            rows.append([v for f in sorted(index.keys() & seen.keys()) for v in (index[f], rate(seen[f], len(found)))])
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    return rates
+
+
+def _matrix(rows: list[list[float]], m: int) -> np.ndarray:
     out = np.zeros((len(rows), m), np.float32)
-    for i, at in enumerate(rows):
-        out[i, at] = 1
+    for i, r in enumerate(rows):
+        out[i, np.array(r[::2], np.int64)] = r[1::2]
     return out
 
 
@@ -132,13 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     z = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / n)
     # features that make a text more likely toxic than not
     good = np.flatnonzero((prior * p / u >= 0.5) & (z > 3))
-    names = [names[i] for i in good[np.argsort(-z[good], kind="stable")][:VOCABULARY]]
-    if not names or not n_unl:
+    features = list(dict.fromkeys(names[i][:-1] for i in good[np.argsort(-z[good], kind="stable")]))[:VOCABULARY]
+    if not features or not n_unl:
         return nothing
-    places = _places(names)
-    x = [_presence([r["at"] for r in df.select(places("text").alias("at")).orderBy(F.xxhash64("at")).collect()], len(names)) for df in (pos, drawn)]
+    rates = _rates(features)
+    x = [_matrix(sorted(r["x"] for r in df.select(rates("text").alias("x")).collect()), len(features)) for df in (pos, drawn)]
     weights, bias = fit(x[0], x[1], prior)
-    return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True)})
+    return Model(bias, {f: float(w) for f, w in zip(features, weights, strict=True)})
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
