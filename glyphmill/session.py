@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with the library's settings; keyword names use underscores for dots."""
     builder = SparkSession.builder.appName("glyphmill").config(map=SETTINGS | {k.replace("_", "."): v for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let executors' Python find this package where the driver does, in sessions that others have made."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])

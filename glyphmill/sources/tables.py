@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.session import prepare
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def binary_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, source_hash, content, is_pdf) of the files under path; content is only read where it is used."""
+    prepare(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("source_hash"), "content", (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("is_pdf"))
 
