@@ -230,6 +230,46 @@ class State:
         return State(**self.__dict__)
 
 
+class Shape:
+    """The path under construction: its straight segments, unless a curve or a clip makes it something else."""
+
+    def __init__(self):
+        self.segments: list[tuple] = []
+        self.start = self.at = (0.0, 0.0)
+        self.plain = True
+
+    def add(self, op: str, v: list[float]) -> None:
+        if op == "m":
+            self.start = self.at = (v[0], v[1])
+        elif op == "l":
+            self._to((v[0], v[1]))
+        elif op == "h":
+            self._to(self.start)
+        elif op == "re":
+            x, y, w, h = v[:4]
+            self.start = self.at = (x, y)
+            for corner in ((x + w, y), (x + w, y + h), (x, y + h), (x, y)):
+                self._to(corner)
+        elif op == "n":
+            self.__init__()
+        else:
+            self.plain = False
+
+    def _to(self, point: tuple) -> None:
+        self.segments.append((*self.at, *point))
+        self.at = point
+
+    def rulings(self, ctm: tuple, close: bool) -> Iterator[tuple]:
+        """Its axis-aligned segments in device space, from the lower left up."""
+        if close:
+            self._to(self.start)
+        for x, y, u, v in self.segments if self.plain else ():
+            a, b = times((1, 0, 0, 1, x, y), ctm)[4:]
+            c, d = times((1, 0, 0, 1, u, v), ctm)[4:]
+            if (abs(a - c) < 1e-6) != (abs(b - d) < 1e-6):
+                yield min(a, c), min(b, d), max(a, c), max(b, d)
+
+
 def _font(doc: Document, font: object) -> dict:
     font = doc.get(font) or {}
     first, widths = doc.get(font.get("/FirstChar")) or 0, doc.get(font.get("/Widths")) or []
@@ -245,6 +285,7 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
     operands: list[object] = []
     fonts, xobjects = doc.get(resources.get("/Font")) or {}, doc.get(resources.get("/XObject")) or {}
     arrays: list[list] = []
+    shape = Shape()
 
     def show(s: bytes, offset: int, item: int | None) -> Iterator[dict]:
         nonlocal tm
@@ -306,8 +347,13 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
                             yield r | {"path": list(path)}
                     else:
                         tm = times((1.0, 0.0, 0.0, 1.0, -float(item) / 1000 * state.size * state.scale, 0.0), tm)
+            elif t in ("m", "l", "re", "h", "c", "v", "y", "W", "W*", "n"):
+                shape.add(t, [float(v) for v in n])
             elif t in ("f", "F", "f*", "S", "s", "B", "B*", "b", "b*"):
                 rows = [{"kind": "path", "op_offset": offset}]
+                if t not in ("f", "F", "f*"):
+                    rows += [{"kind": "ruling", "op_offset": offset, "x": a, "y": b, "dx": c - a, "dy": d - b} for a, b, c, d in shape.rulings(state.ctm, close=t in ("s", "b", "b*"))]
+                shape = Shape()
             elif t == "Do":
                 ref = xobjects.get(n[-1])
                 x = doc.get(ref)

@@ -171,3 +171,17 @@ def test_docx_package(spark):
     assert all(i.date_time == docx.DATE for i in z.infolist())
     assert docx.documents(df.repartition(5), "doc").where("doc = 1").first().crc == got[1].crc
     assert [(r.page_count, r.has_text, r.tables) for r in docx.facts(df, "doc").orderBy("doc").collect()] == [(2, True, 0), (1, True, 0)]
+
+
+def test_grids(spark):
+    def lines(page, xs, ys, short=0.0):
+        h = [(page, float(xs[0]), float(y), float(xs[-1] - xs[0]) - short, 0.0) for y in ys]
+        return h + [(page, float(x), float(ys[0]), 0.0, float(ys[-1] - ys[0])) for x in xs]
+
+    rows = lines(1, (0, 10, 20.0), (0, 5, 9)) + [(1, 10.3, 0.0, 0.0, 9.0)] + lines(2, (0, 10, 20), (0, 5, 9), short=4) + [(3, 0.0, 0.0, 5.0, 0.0)]
+    g = layout.grids(spark.createDataFrame(rows, "page int, x double, y double, dx double, dy double"), ["page"])
+    got = {r.page: (r.xs, r.ys, r.reason) for r in g.collect()}
+    assert got[1] == ([0, 10, 20], [0, 5, 9], None)
+    assert got[2][2] == "ambiguous-table-grid" and got[3][2] == "unsupported-table-rulings"
+    cells = layout.cells(g, ["page"]).collect()
+    assert sorted((r.row, r.col, r.cx0, r.cy0, r.cx1, r.cy1) for r in cells) == [(0, 0, 0, 0, 10, 5), (0, 1, 10, 0, 20, 5), (1, 0, 0, 5, 10, 9), (1, 1, 10, 5, 20, 9)]

@@ -70,3 +70,9 @@ def test_refusals(spark, tmp_path):
     got = pdf.content(spark, write(tmp_path, text=b"no pdf at all", lzw=bad, odd=simple(b"BT Tf (x Tj ET"))).where("kind = 'refused'").select(F.regexp_extract("path", r"(\w+)\.pdf", 1).alias("f"), "ch").collect()
     said = {(r.f, r.ch) for r in got}
     assert {("text", "not a PDF"), ("lzw", "unsupported filter /LZWDecode"), ("odd", "malformed operands of Tf")} <= said
+
+
+def test_rulings(spark, tmp_path):
+    body = b"q 2 0 0 2 5 5 cm 0 0 m 10 0 l S Q 0 0 20 30 re S 0 0 m 5 5 l S 0 0 m 1 1 2 2 3 0 c S 0 0 50 50 re W n 1 1 m 1 9 l S 0 0 9 9 re f"
+    rows = pdf.content(spark, write(tmp_path, r=simple(body))).where("kind = 'ruling'").orderBy("ord").collect()
+    assert [(r.x, r.y, r.dx, r.dy) for r in rows] == [(5, 5, 20, 0), (0, 0, 20, 0), (20, 0, 0, 30), (0, 30, 20, 0), (0, 0, 0, 30), (1, 1, 0, 8)]
