@@ -1,4 +1,7 @@
-"""Ordered rules that decide what may be edited; the first that applies names the outcome."""
+"""Ordered rules that decide what may be edited; the first that applies names the outcome.
+
+Fixed values: the branches' names, the reasons' wordings and the strategies' names are part of the data.
+"""
 
 from __future__ import annotations
 

@@ -309,7 +309,7 @@ def axis_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return layout.axes(_lines(spark, d).withColumn("v", F.col("y") + F.col("n") % 9), ["doc_id"], "v", 15.0)
 
 
-@query("""SELECT doc_id, text, kind FROM (SELECT doc_id, text, CASE WHEN length(text) % 31 = 0 THEN 'heading' WHEN regexp_matches(text, '^\\s*([-*•]|[0-9]+[.)])\\s+') THEN 'list' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))""")
+@query("""SELECT doc_id, text, kind FROM (SELECT doc_id, text, CASE WHEN length(text) % 31 = 0 THEN 'heading' WHEN regexp_matches(text, '^([-*•]|[0-9]+[.)])\\s+') THEN 'list' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))""")
 def block_kind(spark: SparkSession, d: str) -> DataFrame:
     rows = runs(table(spark, d, "documents"))
     return rows.select("doc_id", "text", layout.kind(F.when(F.length("text") % 31 == 0, 20.0).otherwise(10.0), F.lit(10.0), F.col("text")).alias("kind"))

@@ -168,14 +168,14 @@ def export_text(spark: SparkSession, d: str) -> DataFrame:
     return layout.text_document(_turn_blocks(spark, d), "conv_id")
 
 
-@query(f"""WITH b AS ({TURNS_SQL}), m AS (SELECT conv_id, page, ord, CASE kind WHEN 'heading' THEN '## ' WHEN 'list' THEN '- ' ELSE '' END || {ESCAPED_SQL} || chr(10) || chr(10) AS t FROM (SELECT * REPLACE (CASE WHEN kind = 'list' THEN regexp_replace(text, '^\\s*(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END AS text) FROM b)),
+@query(f"""WITH b AS ({TURNS_SQL}), m AS (SELECT conv_id, page, ord, CASE kind WHEN 'heading' THEN '## ' WHEN 'list' THEN '- ' ELSE '' END || {ESCAPED_SQL} || chr(10) || chr(10) AS t FROM (SELECT * REPLACE (CASE WHEN kind = 'list' THEN regexp_replace(text, '^(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END AS text) FROM b)),
 p AS (SELECT conv_id, page, string_agg(t, '' ORDER BY ord) AS t FROM m GROUP BY ALL) SELECT conv_id, string_agg(t, '---' || chr(10) || chr(10) ORDER BY page) AS body FROM p GROUP BY conv_id""")
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return layout.markdown_document(_turn_blocks(spark, d), "conv_id")
 
 
 @query(f"""WITH b AS ({TURNS_SQL}), e AS (SELECT *, kind = 'list' AND coalesce(lag(kind) OVER w <> 'list', true) AS o, kind = 'list' AND coalesce(lead(kind) OVER w <> 'list', true) AS c,
-  replace(replace(replace(CASE WHEN kind = 'list' THEN regexp_replace(text, '^\\s*(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, CASE kind WHEN 'heading' THEN 'h2' WHEN 'list' THEN 'li' ELSE 'p' END AS tag FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY page, ord))
+  replace(replace(replace(CASE WHEN kind = 'list' THEN regexp_replace(text, '^(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, CASE kind WHEN 'heading' THEN 'h2' WHEN 'list' THEN 'li' ELSE 'p' END AS tag FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY page, ord))
 SELECT conv_id, string_agg(CASE WHEN o THEN '<ul>' ELSE '' END || '<' || tag || '>' || x || '</' || tag || '>' || CASE WHEN c THEN '</ul>' ELSE '' END || chr(10), '' ORDER BY page, ord) AS body FROM e GROUP BY conv_id""")
 def export_html(spark: SparkSession, d: str) -> DataFrame:
     return layout.html_document(_turn_blocks(spark, d), "conv_id")

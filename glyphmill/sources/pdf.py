@@ -349,6 +349,7 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
                         tm = times((1.0, 0.0, 0.0, 1.0, -float(item) / 1000 * state.size * state.scale, 0.0), tm)
             elif t in ("m", "l", "re", "h", "c", "v", "y", "W", "W*", "n"):
                 shape.add(t, [float(v) for v in n])
+                rows = [{"kind": "path", "op_offset": offset}] if t == "re" else []  # counted as painting operators are
             elif t in ("f", "F", "f*", "S", "s", "B", "B*", "b", "b*"):
                 rows = [{"kind": "path", "op_offset": offset}]
                 if t not in ("f", "F", "f*"):

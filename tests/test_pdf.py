@@ -47,7 +47,7 @@ def test_runs_of_a_page(spark, tmp_path):
     page = rows.where("kind = 'page'").first()
     assert (page.rotation, page.media_box) == (90, [0.0, 0.0, 300.0, 400.0])
     facts = pdf.page_facts(rows).first()
-    assert (facts.visible, facts.invisible, facts.n_paths) == (len("Hello world") + 2 + len("second part"), 6, 1)
+    assert (facts.visible, facts.invisible, facts.n_paths) == (len("Hello world") + 2 + len("second part"), 6, 2)
     ords = [r.ord for r in rows.where("kind = 'glyph'").orderBy("ord").collect()]
     assert ords == sorted(set(ords))
 
