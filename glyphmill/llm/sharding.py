@@ -92,6 +92,17 @@ def cut_points(groups: DataFrame, shards: int, largest: int) -> list[int]:
     return [order[c][0] if c < len(order) else 1 << 64 for c in cuts[:-1]]
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*more, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+
+
+def _cuts(sized: DataFrame, shards: int) -> list[int]:
+    groups = materialize(sized.groupBy("h").agg(F.sum("size").alias("bytes")), "groups")
+    largest = groups.agg(F.max("bytes")).first()[0] or 0
+    return cut_points(groups, shards, largest)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, h, shard, slot) for every row: size is the text's UTF-8 bytes plus 1.
 
@@ -99,14 +110,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     each shard's rows from 0 without gaps. Shards behind the last group stay empty. An empty table gives an
     empty frame. Other columns are ignored, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = materialize(
-        docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")),
-        "sizes",
-    )
-    groups = materialize(sized.groupBy("h").agg(F.sum("size").alias("bytes")), "groups")
-    largest = groups.agg(F.max("bytes")).first()[0] or 0
-    return _slots(_placed(sized, cut_points(groups, shards, largest)))
+    sized = materialize(_keyed(docs, id_col, text_col), "sizes")
+    placed = _placed(sized, _cuts(sized, shards))
+    return _slots(placed, placed)
 
 
 def _placed(rows: DataFrame, firsts: list[int]) -> DataFrame:
@@ -119,18 +125,18 @@ def _placed(rows: DataFrame, firsts: list[int]) -> DataFrame:
     return rows.withColumn("shard", place.cast("int"))
 
 
-def _slots(placed: DataFrame) -> DataFrame:
+def _slots(placed: DataFrame, counted: DataFrame) -> DataFrame:
     """Number the rows of each shard: within cells of it, on top of the counts of the cells before.
 
     A cell takes a range of hashes and a salt of the id, so the rows of one large group are dealt out too. The
-    counts are at most RANGES * SALTS plus the cuts, however many rows there are.
+    counts, over `counted`, the same rows without their texts, are at most RANGES * SALTS plus the cuts.
     """
-    cell = placed.withColumn("cell", (F.shiftrightunsigned("h", 64 - 10) * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS))).cast("int"))
-    counts = cell.groupBy("shard", "cell").count()
+    cell = (F.shiftrightunsigned("h", 64 - 10) * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS))).cast("int")
+    counts = counted.groupBy("shard", cell.alias("cell")).count()
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     number = F.row_number().over(W.partitionBy("shard", "cell").orderBy("h", "id", "size")) - 1
-    return cell.withColumn("n", number).join(offsets, ["shard", "cell"]).withColumn("slot", F.col("offset") + F.col("n")).drop("n", "offset", "cell")
+    return placed.withColumn("cell", cell).withColumn("n", number).join(offsets, ["shard", "cell"]).withColumn("slot", F.col("offset") + F.col("n")).drop("n", "offset", "cell")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +149,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     A column of docs with such a name keeps its place; the new one then has a trailing underscore.
     """
-    out = shard(docs, shards, id_col, text_col)
-    # rows with equal id and text are alike: number both sides' repeats and join on that
+    sized = materialize(_keyed(docs, id_col, text_col), "sizes")
+    cuts = _cuts(sized, shards)
+    whole = _keyed(docs, id_col, text_col, F.struct("*").alias("d"))
+    rows = _slots(_placed(whole, cuts), _placed(sized, cuts))  # the texts move once
     extra = ("size", "text_crc32", "shard", "slot")
-    names = [c + "_" if c in docs.columns else c for c in extra]
-    same = W.partitionBy("id", "h")
-    slots = out.withColumn("k", F.row_number().over(same.orderBy("slot")))
-    whole = docs.select(F.struct("*").alias("d"))
-    keyed = whole.select("d", F.col("d")[id_col].alias("id2"), F.xxhash64(F.coalesce(F.col("d")[text_col], F.lit(""))).alias("h2"))
-    keyed = keyed.withColumn("k2", F.row_number().over(W.partitionBy("id2", "h2").orderBy(F.lit(0))))
-    joined = keyed.join(slots, F.col("id2").eqNullSafe(F.col("id")) & (F.col("h2") == F.col("h")) & (F.col("k2") == F.col("k")))
-    return joined.select("d.*", *[F.col(c).alias(n) for c, n in zip(extra, names, strict=True)])
+    return rows.select("d.*", *[F.col(c).alias(c + "_" if c in docs.columns else c) for c in extra])
