@@ -11,11 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.session import prepare
+
 #: Java and DuckDB (RE2) both read this class: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that executors hand to Python at once. Rows are whole documents here, so Spark's default of 10,000 is too many.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session has a setting of its own, and make this package known to executors."""
+    prepare(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and stays columnar.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
