@@ -35,6 +35,8 @@ def _decomposed(chars: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]
 
 def project(text: str, match_case: bool = False) -> tuple[str, list[tuple[int, int]]]:
     """(projected text, source span of each of its UTF-16 units)."""
+    if text.isascii():  # each character is a unit and stays one
+        return text if match_case else text.lower(), [(i, i + 1) for i in range(len(text))]
     tagged, at = [], 0
     for c in text:
         tagged.append((c, at, at + units(c)))
@@ -70,6 +72,10 @@ def find(text: str, needle: str, match_case: bool = False, whole_words: bool = F
     want = project(needle, match_case)[0]
     if not want:
         return []
+    if text.isascii() and not whole_words and "\r" not in text:  # every character is a grapheme
+        shown = text if match_case else text.lower()
+        starts = [m.start() for m in regex.finditer(regex.escape(want), shown)]
+        return [(k, k + len(want), text[k : k + len(want)], True) for k in starts]
     shown, spans = project(text, match_case)
     at = [0]
     for c in shown:

@@ -109,6 +109,14 @@ def test_projection_spans_cover_the_text(text):
     assert all(0 <= s < e <= unicode.units(text) for s, e in spans)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("aAbB \r\n.", max_size=30), st.text("aAb.", min_size=1, max_size=3))
+def test_plain_texts_are_found_like_any(text, needle):
+    other = unicode.find(text + "\u00e9", needle)  # one character beyond ASCII takes the general way
+    assert unicode.find(text, needle) == other
+    assert unicode.project(text)[1] == unicode.project(text + "\u00e9")[1][: len(text)]
+
+
 def test_run_id_with_all_parts(spark):
     h = "ab" * 32
     df = spark.createDataFrame([(h, 3, 1, 99, [7, 12], 2, "On.1", 4, "A_b", 2, 5), (h, 0, 0, 0, [], None, None, None, None, None, None)], "h string, p int, c int, o int, x array<int>, ai int, s string, t int, y string, ga int, gb int")
