@@ -211,7 +211,9 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, id_col: str = "doc_id", tex
     names = linked.groupBy("root").agg(F.min_by(F.struct("first_doc", "first_line"), by_place).alias("name"))
     known = linked.join(names, "root").select("h", "n_links", "name")
     name = F.coalesce("name", F.struct("first_doc", "first_line"))
-    rows = occurrences.join(places, "h").join(known, "h", "left").withColumn("name", name)
+    # one row a line, written before the last join: Spark can then split the rows of a very common line over tasks
+    info = materialize(places.join(known, "h", "left").select("h", "n_links", name.alias("name")), "info")
+    rows = occurrences.join(info, "h")
     kept = F.col("name.first_doc").eqNullSafe(F.col("doc_id")) & (F.col("name.first_line") == F.col("line_no"))
     return rows.select("doc_id", "line_no", F.col("name.first_doc").alias("class_doc_id"), F.col("name.first_line").alias("class_line_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"))
 
