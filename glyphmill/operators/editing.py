@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
@@ -99,10 +100,10 @@ def replay_text_state(ops: DataFrame) -> DataFrame:
     return rows.repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, STATE)
 
 
-def tree_counts(nodes: DataFrame, depth: int = 64) -> DataFrame:
+def tree_counts(nodes: DataFrame) -> DataFrame:
     """(root, n): nodes (id, parent; null parent for roots) below each root, itself included; cycles count once."""
     reached = nodes.where("parent IS NULL").select(F.col("id").alias("root"), "id", F.lit(0).alias("round")).checkpoint()
-    for i in range(1, depth + 1):
+    for i in count(1):
         step = reached.where(F.col("round") == i - 1).withColumnRenamed("id", "above").join(nodes, F.col("above") == F.col("parent")).select("root", "id", F.lit(i).alias("round"))
         grown = reached.union(step).groupBy("root", "id").agg(F.min("round").alias("round")).checkpoint()
         if grown.where(F.col("round") == i).isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def unique_match(rows: DataFrame, others: DataFrame, keys: list[str], x: str, ep
     return rows.join(one, "row_id", "left").withColumn("other_id", F.when(F.col("_n") == 1, F.col("other_id"))).drop("_n")
 
 
-def shared_objects(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def shared_objects(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(object, n_pages) of the objects that more than one page reaches; edges (parent, child), roots (page, object).
 
     Breadth first: each round joins the frontier with the edges and drops what a page has already reached, so a
@@ -62,7 +64,7 @@ def shared_objects(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataF
     """
     # a page's reach is told by its number of rounds; checkpoints keep each round's plan short
     seen = roots.select("page", "object").distinct().withColumn("round", F.lit(0)).checkpoint()
-    for i in range(1, depth + 1):
+    for i in count(1):
         step = seen.where(F.col("round") == i - 1).join(edges, F.col("object") == F.col("parent")).select("page", F.col("child").alias("object"), F.lit(i).alias("round"))
         grown = seen.union(step).groupBy("page", "object").agg(F.min("round").alias("round")).checkpoint()
         if grown.where(F.col("round") == i).isEmpty():
