@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only a local session, whose tasks share a disk, may have none set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -82,6 +86,22 @@ def drop_scratch(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def dealt_table(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, dealt by key into as many buckets as shuffles have partitions, so that joins by key leave it in place.
+
+    It goes when the block ends: what is built of it must be written by then.
+    """
+    spark = df.sparkSession
+    name, path = f"glyphmill_{uuid.uuid4().hex}", scratch_path(spark, "dealt")
+    try:
+        df.write.bucketBy(partitions(spark), key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
