@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import prepare
+from glyphmill.session import is_local, prepare
 
 #: Java and DuckDB (RE2) both read this class: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +39,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir). Only a local session, whose tasks share a disk, may have none set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -102,6 +101,28 @@ def dealt_table(df: DataFrame, key: str) -> Iterator[DataFrame]:
         _delete(spark, path)
 
 
+#: Bits of the table that tells most rows apart from those a join wants.
+SIEVE = 1 << 23
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """rows with _hit: whether key (a 64-bit hash) may be among the wanted ones; false is certain.
+
+    A table of SIEVE bits, one for each remainder of the wanted hashes, goes to all tasks, so rows that a join doesn't
+    want need not be shuffled for it. Its size doesn't grow; where it fills up, more rows are hits.
+    """
+
+    def place(h: Column) -> Column:
+        return F.shiftright(F.pmod(h, F.lit(SIEVE)), 6)
+
+    def one(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+    marks = wanted.groupBy(place(F.col(wanted_key)).alias("_place")).agg(F.bit_or(one(F.col(wanted_key))).alias("_bits"))
+    met = rows.withColumn("_h", key).withColumn("_place", place(F.col("_h"))).join(F.broadcast(marks), "_place", "left")  # SIEVE / 64 rows at most
+    return met.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(one(F.col("_h"))) != 0, F.lit(False))).drop("_place", "_bits", "_h")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F, types as T
 
-from glyphmill.llm.common import components, materialize, partitions, table, utf8
+from glyphmill.llm.common import components, materialize, partitions, sieved, table, utf8
 
 BITS, BLOCK = 64, 16
 #: A subtree with more fingerprints than this is dealt again by the blocks below its root.
 SUBTREE = 500_000
 #: Node pairs that are walked at once.
 CHUNK = 1 << 18
+#: Fingerprints that a task holds before it walks the subtrees that they make up.
+HELD = 1 << 20
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -141,25 +143,36 @@ def _rotate(x: np.ndarray, by: int) -> np.ndarray:
 
 
 def _join_subtrees(budget: int):
-    """mapInArrow function: (rot int, sub int, fp long) rows of whole subtrees -> (a, b) links to class firsts."""
+    """mapInArrow function: rows (rot int, sub int, block int, below int, fp long) of whole subtrees, in this order -> (a, b) links to class firsts."""
+
+    def walk(rot: int, sub: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        turn = _second_level(12 * sub) if sub >= 0 else (lambda k: k)
+        back = _second_level(48 - 12 * sub) if sub >= 0 else (lambda k: k)
+        keys = np.unique(turn(_rotate(fp, BLOCK * rot)))
+        label = trie_classes(keys, budget, BLOCK + 12 * (sub >= 0))
+        hit = np.flatnonzero(label != np.arange(len(keys)))
+        if len(hit):
+            ends = [pa.array(_rotate(back(k), BITS - BLOCK * rot).view(np.int64)) for k in (keys[hit], keys[label[hit]])]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def walk_all(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        both = rows[0].astype(np.int64) * 64 + rows[1] + 1
+        for k in np.unique(both):
+            yield from walk(int(k) // 64, int(k) % 64 - 1, np.ascontiguousarray(rows[4][both == k]).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            rot, sub = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fp = b.column(2).to_numpy().view(np.uint64)
-            both = rot.astype(np.int64) * 64 + sub + 1
-            for k in np.unique(both):
-                parts.setdefault((int(k) // 64, int(k) % 64 - 1), []).append(fp[both == k])
-        for (rot, sub), found in parts.items():
-            turn = _second_level(12 * sub) if sub >= 0 else (lambda k: k)
-            back = _second_level(48 - 12 * sub) if sub >= 0 else (lambda k: k)
-            keys = np.unique(turn(_rotate(np.concatenate(found), BLOCK * rot)))
-            label = trie_classes(keys, budget, BLOCK + 12 * (sub >= 0))
-            hit = np.flatnonzero(label != np.arange(len(keys)))
-            if len(hit):
-                ends = [pa.array(_rotate(back(k), BITS - BLOCK * rot).view(np.int64)) for k in (keys[hit], keys[label[hit]])]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+            held.append([c.to_numpy() for c in b.columns])
+            if sum(len(h[0]) for h in held) >= HELD:  # all but the last subtree, which may go on
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in rows[:4]], axis=0))
+                cut = int(new[-1]) + 1 if len(new) else 0
+                if cut:
+                    yield from walk_all([c[:cut] for c in rows])
+                held = [[c[cut:] for c in rows]]
+        if held:
+            yield from walk_all([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
@@ -194,7 +207,8 @@ def links(fingerprints: DataFrame, budget: int = 3, subtree: int = SUBTREE) -> D
     rest = f"shiftleft(shiftleft(fp, rot * {BLOCK}) | shiftrightunsigned(fp, 64 - rot * {BLOCK}), {BLOCK})"
     rows = rows.withColumn("sub", F.explode(F.expr("if(crowded, array(0, 1, 2, 3), array(-1))")))
     rows = rows.withColumn("below", F.expr(f"if(sub < 0, -1, cast(shiftrightunsigned(shiftleft({rest}, 12 * sub), 52) as int))"))
-    rows = rows.repartition(partitions(spark), "rot", "block", "sub", "below").select("rot", "sub", "fp")
+    keys = ["rot", "sub", "block", "below"]
+    rows = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).select("rot", "sub", F.col("block").cast("int").alias("block"), "below", "fp")
     return rows.mapInArrow(_join_subtrees(budget), "a long, b long")
 
 
@@ -223,17 +237,24 @@ def near_duplicates(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", te
 def keep_one(docs: DataFrame, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: that of the smallest id (null ids last, then by text hash).
 
-    All columns stay. Of rows that repeat id and text, one stays.
+    All columns stay. Of rows that repeat id and text, the one stays whose other columns have the smallest hash.
+    Null, empty and wordless texts are one class, as their fingerprint is zero. An empty table stays empty.
     """
     rows, roots = classes(docs, budget, id_col, text_col)
+    here = F.xxhash64("id", "row_hash")
     key = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), "row_hash")
     per_row = rows.groupBy("fp", "id", "row_hash").agg(F.count("*").alias("n_rows"))
     best = per_row.join(roots, "fp").groupBy("root").agg(F.min_by(F.struct("id", "row_hash", "n_rows"), key).alias("k")).select("k.*")
-    best = best.select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("n_rows").alias("_rows"))
+    best = materialize(best.select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("n_rows").alias("_rows")), "best")
+    # most rows are the only one of their class: a row that is neither dropped nor repeated stays without a join
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))
+    unsure = per_row.join(best.where("_rows = 1"), same, "left_anti").select(here.alias("h"))
     whole = docs.select(F.struct("*").alias("d"))
-    kept = whole.join(best, F.col("d")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("d")[text_col]) == F.col("_hash")))
-    several = kept.where("_rows > 1").dropDuplicates(["_id", "_hash"])
-    return kept.where("_rows = 1").union(several).select("d.*")
+    met = sieved(whole, F.xxhash64(F.col("d")[id_col], F.xxhash64(F.col("d")[text_col])), materialize(unsure, "unsure"), "h")
+    sure = met.where("NOT _hit").select("d.*")
+    kept = met.where("_hit").join(best, F.col("d")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("d")[text_col]) == F.col("_hash")))
+    several = kept.where("_rows > 1").groupBy("_id", "_hash").agg(F.min_by("d", F.xxhash64(F.to_json("d"))).alias("d"))
+    return sure.union(kept.where("_rows = 1").select("d.*")).union(several.select("d.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,9 +36,12 @@ def test_banded_distance(spark, t):
     for _ in range(500):
         a = "".join(rng.choice("abé ") for _ in range(rng.randint(0, 30)))
         pairs.append((a, mutate(rng, a, rng.randint(0, t + 2))))
+    long = "".join(rng.choice("abé ") for _ in range(40000))  # its length wraps in the packed column
+    pairs += [(long, long[:17] + long[18:]), (long, long[:39990] + "xyz" + long[39990:]), (long, "x" + long[1:])]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for r in df.select("a", "b", ld.within("a", "b", t).alias("ok")).collect():
-        assert r.ok == (edit(r.a, r.b) <= t), (r.a, r.b)
+    for r in df.select("a", "b", ld.edits("a", "b", t).alias("n")).collect():
+        true = {39999: 1, 40003: 3, 40000: 1}[len(r.b)] if len(r.a) == 40000 else edit(r.a, r.b)
+        assert min(r.n, t + 1) == min(true, t + 1), (r.a, r.b)
 
 
 def slow(docs, t):
@@ -50,7 +53,7 @@ def slow(docs, t):
                 lines.append((d, i, x))
                 first[x] = min(first.get(x, (d, i)), (d, i))
     texts = sorted(first)
-    root, degree = {x: x for x in texts}, defaultdict(int)
+    root, sizes = {x: x for x in texts}, Counter()
 
     def find(x):
         while root[x] != x:
@@ -59,24 +62,24 @@ def slow(docs, t):
 
     for k, a in enumerate(texts):
         for b in texts[k + 1 :]:
-            if min(len(a), len(b)) >= ld.SHORTEST and abs(len(a) - len(b)) <= t and edit(a, b) <= t:
-                degree[a] += 1
-                degree[b] += 1
+            allowed = min(t, max(len(a), len(b)) // 5)
+            if abs(len(a) - len(b)) <= allowed and edit(a, b) <= allowed:
                 x, y = sorted((find(a), find(b)), key=lambda v: first[v])
                 root[y] = x
-    return {(d, i): (*first[find(x)], degree[x], first[find(x)] == (d, i)) for d, i, x in lines}
+    sizes.update(find(x) for x in texts)
+    return {(d, i): (*first[find(x)], sizes[find(x)], first[find(x)] == (d, i)) for d, i, x in lines}
 
 
 def compare(spark, docs, t=ld.THRESHOLD):
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, h string, line int")
-    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in ld.dedup_lines(df, t).collect()}
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.class_size, r.kept) for r in ld.dedup_lines(df, t).collect()}
     assert got == slow(docs, t)
 
 
 @pytest.mark.parametrize("t", [1, 2, 3])
 def test_against_all_pairs(spark, t):
     rng = random.Random(7 * t)
-    base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice([5, 19, 20, 21, 22, 24, 40, 90]))) for _ in range(12)]
+    base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice([4, 5, 8, 9, 10, 11, 13, 19, 21, 24, 40, 90]))) for _ in range(12)]
     docs = []
     for d in range(60):
         lines = [mutate(rng, rng.choice(base), rng.randint(0, 3)) for _ in range(rng.randint(0, 4))]
@@ -103,3 +106,30 @@ def test_cleaned_texts_and_empty_table(spark):
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "one line of some length here"), (2, "one line of some length here"), (2, "one line of some length here")], "doc_id long, text string")
     assert [(r.class_doc_id, r.kept) for r in ld.dedup_lines(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [(2, False), (2, True), (2, True)]
+
+
+def test_short_lines(spark):
+    rng = random.Random(3)
+    lines = {mutate(rng, rng.choice(["abcd", "abcde", "ab cd ef", "éabababab", "color: red", "a line of 19 chars."]), rng.randint(0, 3)) for _ in range(400)}
+    compare(spark, list(enumerate([*sorted(lines), "colour: red", "a line of 19 chars!", "a", "b"])))
+
+
+def test_variants_in_digits_make_rows_in_proportion(spark):
+    docs = [(i, f"visitor number {7919 * i % 2000:04d} has come to this page") for i in range(2000)]
+    docs += [(2000 + i, f"{i:03d} of the pages say it {i:03d} times over and then again {i:03d}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = ld.dedup_lines(df).collect()
+    assert {(r.class_doc_id, r.class_size) for r in rows if r.doc_id < 2000} == {(0, 2000)}
+    assert all(r.class_size == 1 for r in rows if r.doc_id >= 2000)
+
+
+def test_large_groups_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(ld, "PART_ROWS", 5)
+    rng = random.Random(9)
+    compare(spark, [(i, mutate(rng, f"item {rng.randint(0, 99):02d} of the list of all things", rng.randint(0, 2))) for i in range(150)])
+
+
+def test_a_very_long_line(spark):
+    a = "word " * 30000
+    rows = ld.dedup_lines(spark.createDataFrame([(1, a + "x"), (2, a + "y"), (3, a)], "doc_id long, text string")).collect()
+    assert {(r.class_doc_id, r.class_size) for r in rows} == {(1, 3)}
