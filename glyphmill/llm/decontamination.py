@@ -12,7 +12,6 @@ the memory of a task is bounded by one block and one slice of documents, however
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,7 +231,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the contaminated documents."""
+    """docs, all columns, without the contaminated documents.
+
+    Null, empty and wordless texts are clean; repeated rows stay or go together; an empty table stays empty, and an
+    empty benchmark takes nothing. Other columns go along, whatever their names.
+    """
     udf = overlap_udf(docs.sparkSession, benchmark)
     whole = docs.select(F.struct("*").alias("d")).withColumn("o", udf(F.col("d")[text_col]))
     return whole.where(f"NOT ({CONTAMINATED})").select("d.*")

@@ -4,7 +4,7 @@ Every source gets a budget of words. Its documents are taken whole as many times
 source, and those whose hash lies below a threshold once more. The threshold is found without a sort: words
 are summed by source and hash bucket, the bucket where the budget ends is found by a running sum over the
 buckets, and only that bucket is divided again, three times, down to single hash values. The thresholds of
-the copies nest: a larger budget takes a superset. DataFrame functions only.
+the copies nest: a larger budget takes a superset. DataFrame functions only; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A hash has 60 bits, found 15 at a time.
 HASH_BITS, STEP = 60, 15
 SALTS = 64
+#: Sources, and bytes of their names, up to which the thresholds go to all tasks; beyond, rows are joined with them by salted keys.
+FEW_SOURCES, FEW_BYTES = 10_000, 1 << 20
 
 
 def _key(source: Column) -> Column:
@@ -26,37 +28,48 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def _hash(ident: Column) -> Column:
-    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("null")).cast("binary"))
+def _hash(ident: Column, text: Column) -> Column:
+    """Of the id; of the text where there is none."""
+    digest = F.md5(F.coalesce(ident.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), _key(F.col(source_col)).alias("src"), size.alias("size"), _hash(F.col(id_col)).alias("h"))
+    return docs.select(F.col(id_col).alias("id"), _key(F.col(source_col)).alias("src"), size.alias("size"), _hash(F.col(id_col), F.col(text_col)).alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(src, source_size, target): share of all words by weight, no source above most times its size.
 
-    With sources in the order of cap over weight, those that reach their cap come first. The first source for
-    which the rest of the budget, dealt by the rest of the weights, stays within its cap ends them; all from
-    there on get that rate times their weight.
+    Each round deals what the sources at their cap leave of the budget to the others by weight; those that it takes
+    above their cap are at it from then on. Only three sums of a round come to the driver. The sums are of whole
+    numbers, so their order doesn't matter.
     """
-    n = len(weights)
     sizes = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    every = W.partitionBy(F.lit(0))
-    rank = F.row_number().over(every.orderBy("src")) - 1
-    weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % n + 1).cast("int")))
-    weighed = weighed.withColumn("cap", F.col("source_size").cast("double") * most)
-    by_rate = every.orderBy(F.col("cap") / F.col("w"), "src")
-    before = by_rate.rowsBetween(W.unboundedPreceding, -1)
-    after = by_rate.rowsBetween(0, W.unboundedFollowing)
-    rated = weighed.withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
-    rated = rated.withColumn("rate", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    rated = rated.withColumn("open", F.col("rate") * F.col("w") <= F.col("cap"))
-    rated = rated.withColumn("final", F.min_by(F.when(F.col("open"), F.col("rate")), F.when(F.col("open"), F.col("cap") / F.col("w"))).over(every))
-    return rated.select("src", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = _ranked(sizes).select("src", "source_size", weight.alias("w"), (F.col("source_size").cast("double") * most).alias("cap"))
+    weighed = materialize(weighed, "weights")
+    budget = float(share) * (weighed.agg(F.sum("source_size")).first()[0] or 0)
+    rate, at_cap, full = 0.0, -1, F.lit(False)
+    while True:
+        s = weighed.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if s.w is None:  # all at their caps
+            return weighed.select("src", "source_size", F.col("cap").alias("target"))
+        if s.n == at_cap:
+            return weighed.select("src", "source_size", F.least(F.col("cap"), F.lit(rate) * F.col("w")).alias("target"))
+        rate, at_cap = (budget - (s.cap or 0.0)) / s.w, s.n
+        full = F.lit(rate) * F.col("w") > F.col("cap")
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank: the place of src in its order, from 0. Partitions of ranges are sorted, and their counts added up."""
+    rows = sizes.repartitionByRange("src").sortWithinPartitions("src").withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(rows, "sources").withColumn("part", F.shiftright("at", 33))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("before"))  # a row for each partition
+    return rows.join(F.broadcast(starts), "part").select("src", "source_size", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 def thresholds(sized: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
@@ -91,7 +104,11 @@ def _times(most: int) -> Column:
 
 
 def _with_goal(rows: DataFrame, dealt: DataFrame) -> DataFrame:
-    """rows joined with their source's row of dealt, by salted keys: a hot source is dealt over SALTS tasks."""
+    """rows joined with their source's row of dealt, without a shuffle of rows where these are few; else a hot source is dealt over SALTS tasks."""
+    dealt = materialize(dealt, "goals")
+    n, size = dealt.agg(F.count("*"), F.sum(F.octet_length("src"))).first()
+    if n <= FEW_SOURCES and (size or 0) <= FEW_BYTES:
+        return rows.join(F.broadcast(dealt), "src")
     salted = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("salt", F.pmod("h", F.lit(SALTS).cast("long"))).join(salted, ["src", "salt"]).drop("salt")
 
@@ -100,8 +117,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     """(id, size, source_size, target, taken), one row per document; taken is size times 0 to `most`.
 
     A null text has size 0, as have empty and blank ones, and takes 0 words. Null sources are one source, the
-    last. The hash is of the id alone, so a rerun takes the same documents, and rows that repeat an id come in
-    together. An empty table gives an empty frame. Other columns are ignored, whatever their names.
+    last. The hash is of the id alone, or of the text where the id is null, so a rerun takes the same documents,
+    and rows that repeat an id come in together. An empty table gives an empty frame. Other columns are ignored, whatever their names.
     """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
     dealt = thresholds(sized, targets(sized, weights, share, most), most)
@@ -109,10 +126,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it (0 to `most` times)."""
+    """docs, all columns, each row as often as the mix takes it (0 to `most` times).
+
+    Nulls, empty texts, repeated rows and empty tables are as in mix(); other columns go along, whatever their
+    names. Rows of size 0 are taken as often as their source's hash threshold says.
+    """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
     dealt = thresholds(sized, targets(sized, weights, share, most), most)
-    whole = docs.select(F.struct("*").alias("d")).select("d", _key(F.col("d")[source_col]).alias("src"), _hash(F.col("d")[id_col]).alias("h"))
+    whole = docs.select(F.struct("*").alias("d")).select("d", _key(F.col("d")[source_col]).alias("src"), _hash(F.col("d")[id_col], F.col("d")[text_col]).alias("h"))
     taken = _with_goal(whole, dealt).select("d", _times(most).alias("times")).where("times > 0")
     return taken.select("d", F.explode(F.expr("array_repeat(0, times)"))).select("d.*")
 
@@ -124,7 +145,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -166,7 +166,11 @@ def score_documents(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without those that score below 0.5."""
+    """docs, all columns, without those that score below 0.5.
+
+    Null, empty and very long texts are scored like any; repeated rows stay or go together; an empty table stays
+    empty. Other columns go along, whatever their names.
+    """
     whole = docs.select(F.struct("*").alias("d"))
     return whole.where(score_udf(model)(F.col("d")[text_col]) >= 0.5).select("d.*")
 

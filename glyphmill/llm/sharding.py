@@ -147,11 +147,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with size, text_crc32, shard and slot.
 
-    A column of docs with such a name keeps its place; the new one then has a trailing underscore.
+    A column of docs with such a name keeps its place; the new one then has trailing underscores, as many as
+    make its name a new one. Null texts count as empty ones, rows with equal texts go together, an empty table
+    stays empty.
     """
     sized = materialize(_keyed(docs, id_col, text_col), "sizes")
     cuts = _cuts(sized, shards)
     whole = _keyed(docs, id_col, text_col, F.struct("*").alias("d"))
     rows = _slots(_placed(whole, cuts), _placed(sized, cuts))  # the texts move once
     extra = ("size", "text_crc32", "shard", "slot")
-    return rows.select("d.*", *[F.col(c).alias(c + "_" if c in docs.columns else c) for c in extra])
+    names, taken = [], set(docs.columns)
+    for name in extra:
+        while name in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name)
+    return rows.select("d.*", *[F.col(c).alias(n) for c, n in zip(extra, names, strict=True)])

@@ -3,15 +3,17 @@
 A store is a folder of Parquet files of blocks, in ascending document order by (part, seq). A block holds up to
 about BLOCK_TOKENS ids, its ids as little-endian 16- or 32-bit numbers and the n + 1 boundaries of its n
 documents as an Elias-Fano sequence: the low bits of each boundary packed, the high bits in unary, 2 + log2(ids
-per document) bits a document in all. select(i) gives the i-th boundary from a sampled directory without
-decoding the rest; boundaries() decodes all of them at once. Offsets in the whole store are a block's own plus
-the ids of the blocks before it, and those come from a manifest of one small row per block.
+per document) bits a document in all, and a directory of every 256th, from which select() reads values without
+decoding those before. The documents' own ids, ascending too, are a second such sequence, less the first of them;
+null ids come first and are only counted. Offsets in the whole store are a block's own plus the ids of the blocks
+before it, and those come from a manifest of one small row per block.
 
 Blocks are written by Spark's writers, so a task that is lost leaves nothing behind and is run again.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -33,58 +35,75 @@ CACHED_WORDS = 1_200_000
 POINTS = ".,;:!?*#$%&|"
 BEYOND_LATIN, SEPARATORS = re.compile("[\u0250-\U0010ffff]"), re.compile("[\x1c-\x1f]")
 NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-BLOCK_SCHEMA = "part int, seq int, n_docs int, n_tokens long, width int, doc_ids array<long>, low_bits int, low binary, high binary, ids binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence of numbers in near-minimal space, with random access."""
+    """A non-decreasing sequence of numbers below 2^64 in near-minimal space, with random access.
+
+    The directory holds, for every SAMPLED-th value, the byte of the high bits that its one is in and the ones
+    before that byte, as 32-bit numbers.
+    """
 
     SAMPLED = 256
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, directory: bytes):
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, dtype=np.int64)
+        v = np.asarray(values).astype(np.uint64)
         n = len(v)
-        low_bits = max(0, int(v[-1] // n).bit_length() - 1) if n else 0
-        low = ((v[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
-        high = np.zeros(int((v[-1] >> low_bits) + n) if n else 0, np.uint8)
-        high[(v >> low_bits) + np.arange(n)] = 1
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
+        low_bits = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
+        low = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        high[ones] = 1
+        raw = np.packbits(high, bitorder="little")
+        before = np.concatenate(([0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)))
+        byte = ones[:: cls.SAMPLED] // 8
+        directory = np.stack([byte, before[byte]], 1).astype("<u4")
+        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), raw.tobytes(), directory.tobytes())
 
     def _low(self, first: int, count: int) -> np.ndarray:
         if not self.low_bits:
-            return np.zeros(count, np.int64)
+            return np.zeros(count, np.uint64)
         at = first * self.low_bits
         raw = np.frombuffer(self.low, np.uint8)[at // 8 : (at + count * self.low_bits + 7) // 8]
-        bits = np.unpackbits(raw, bitorder="little")[at % 8 :][: count * self.low_bits]
-        return bits.reshape(count, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
-
-    def select(self, i: int) -> int:
-        """The i-th value: from the nearest sampled one, over at most the bytes up to it."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        raw = np.frombuffer(self.high, np.uint8)
-        if self._samples is None:  # ones before each byte that holds the first of SAMPLED ones
-            before = np.concatenate(([0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)))
-            at = np.searchsorted(before, np.arange(0, self.n, self.SAMPLED), "right") - 1
-            self._samples = np.stack([at, before[at]])
-        byte, ones = (int(x) for x in self._samples[:, i // self.SAMPLED])
-        count = np.cumsum(np.bitwise_count(raw[byte : byte + 2 * self.SAMPLED]), dtype=np.int64)
-        while ones + (int(count[-1]) if len(count) else 0) <= i:
-            byte, ones = byte + len(count), ones + int(count[-1])
-            count = np.cumsum(np.bitwise_count(raw[byte : byte + 2 * self.SAMPLED]), dtype=np.int64)
-        k = int(np.searchsorted(count, i - ones, "right"))
-        ones += int(count[k - 1]) if k else 0
-        bit = int(np.flatnonzero(np.unpackbits(raw[byte + k : byte + k + 1], bitorder="little"))[i - ones])
-        return ((8 * (byte + k) + bit - i) << self.low_bits) | int(self._low(i, 1)[0])
+        bits = np.unpackbits(raw, bitorder="little")[at % 8 :][: count * self.low_bits].reshape(count, self.low_bits)
+        out = np.zeros(count, np.uint64)
+        for k in range(self.low_bits):
+            out |= bits[:, k].astype(np.uint64) << np.uint64(k)
+        return out
+
+    def select(self, first: int, count: int = 1) -> np.ndarray:
+        """Values first to first + count - 1, read from the directory's last entry before them on; nothing else is decoded."""
+        if not 0 <= first <= first + count <= self.n:
+            raise IndexError(first)
+        if not count:
+            return np.empty(0, np.uint64)
+        marks = np.frombuffer(self.directory, "<u4").reshape(-1, 2)
+        byte, ones = (int(x) for x in marks[first // self.SAMPLED])
+        end = (first + count - 1) // self.SAMPLED + 1
+        stop = int(marks[end][0]) + 1 if end < len(marks) else len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[byte:stop], bitorder="little")
+        at = np.flatnonzero(bits)[first - ones :][:count] + 8 * byte
+        return ((at - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(first, count)
+
+
+#: An Elias-Fano sequence's columns in a block, by a prefix.
+def _fields(prefix: str) -> str:
+    return f"{prefix}_bits int, {prefix}_low binary, {prefix}_high binary, {prefix}_directory binary"
+
+
+def _put(prefix: str, ef: EliasFano) -> dict:
+    return {f"{prefix}_bits": ef.low_bits, f"{prefix}_low": ef.low, f"{prefix}_high": ef.high, f"{prefix}_directory": ef.directory}
+
+
+def _get(row: dict, prefix: str, n: int) -> EliasFano:
+    return EliasFano(n, *(row[f"{prefix}_{c}"] for c in ("bits", "low", "high", "directory")))
+
+
+BLOCK_SCHEMA = f"part int, seq int, n_docs int, n_tokens long, width int, n_null int, first_id long, {_fields('doc')}, {_fields('bound')}, ids binary"
 
 
 class Encoder:
@@ -172,22 +191,23 @@ def _encoder(path: str) -> Encoder:
 
 
 def _blocks(path: str, end_id: int, block_tokens: int):
-    """mapInArrow function: (id, text) in order -> blocks."""
+    """mapInArrow function: (id, text) in order -> blocks. path: the tokenizer among the files that Spark has sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc = _encoder(SparkFiles.get(path))
         part, end = TaskContext.get().partitionId(), np.array([end_id], enc.dtype).tobytes()
         seq, ids, held, n = 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             bounds = np.concatenate(([0], np.cumsum([len(x) // enc.width for x in held])))
-            ef = EliasFano.encode(bounds)
+            known = np.array([i for i in ids if i is not None], np.int64)
+            first = int(known[0]) if len(known) else 0
             row = {
-                "part": part, "seq": seq, "n_docs": len(held), "n_tokens": int(bounds[-1]), "width": enc.width, "doc_ids": ids,
-                "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "ids": b"".join(held),
+                "part": part, "seq": seq, "n_docs": len(held), "n_tokens": int(bounds[-1]), "width": enc.width, "n_null": len(ids) - len(known), "first_id": first,
+                **_put("doc", EliasFano.encode(known.view(np.uint64) - np.uint64(first % (1 << 64)))), **_put("bound", EliasFano.encode(bounds)), "ids": b"".join(held),
             }
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("ids", pa.binary())])
-            return pa.RecordBatch.from_pylist([row], schema)
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            return pa.RecordBatch.from_pylist([row], pa.schema([(n, kinds[k]) for n, k in map(str.split, BLOCK_SCHEMA.split(", "))]))
 
         for b in batches:
             for i in range(0, len(b), 500):
@@ -209,26 +229,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """Encode docs with the tokenizer file and write the store. path: a folder that all executors share.
 
     Documents come in ascending order of id, null ids first; repeated ids in the order of their text's hash.
-    Null and empty texts are the end id alone. Ids may be any long.
+    Null and empty texts are the end id alone. Ids may be any long, or text of one. The tokenizer's file is sent to
+    the executors.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    ordered.mapInArrow(_blocks(tokenizer, end_id, block_tokens), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(_blocks(os.path.basename(tokenizer), end_id, block_tokens), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, pa.Array, np.ndarray]]:
+    """(row, boundaries, document ids, ids) of each block, all read through select()."""
     for b in batches:
         for r in range(len(b)):
             row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-            n, width = row["n_docs"].as_py(), row["width"].as_py()
-            bounds = EliasFano(n + 1, row["low_bits"].as_py(), row["low"].as_py(), row["high"].as_py()).values()
-            ids = np.frombuffer(row["ids"].as_buffer(), f"<u{width}").astype("<u4")
-            raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, row["part"].as_py(), np.int32)), pa.array(np.full(n, row["seq"].as_py(), np.int32)), row["doc_ids"].values, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
-            )
+            row |= {n: v.as_py() for n, v in row.items() if n != "ids"}
+            n, nulls = row["n_docs"], row["n_null"]
+            bounds = _get(row, "bound", n + 1).select(0, n + 1).astype(np.int64)
+            own = (_get(row, "doc", n - nulls).select(0, n - nulls) + np.uint64(row["first_id"] % (1 << 64))).view(np.int64)
+            names = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(own)])
+            yield row, bounds, names, np.frombuffer(row["ids"].as_buffer(), f"<u{row['width']}")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, bounds, names, ids in _rows(batches):
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+        part, seq = (pa.array(np.full(len(crc), row[c], np.int32)) for c in ("part", "seq"))
+        yield pa.RecordBatch.from_arrays([part, seq, names, pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +266,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     parts = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     manifest = store.select("part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner")).join(parts, "part")
-    docs = store.select("part", "seq", "n_docs", "width", "doc_ids", "low_bits", "low", "high", "ids").mapInArrow(_read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = store.mapInArrow(_read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(manifest, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inner") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -246,15 +274,10 @@ def token_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, ids: array<long>) of every document of a store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                own, n, width, k, low, high, ids = (b.column(i)[r] for i in range(7))
-                bounds = EliasFano(n.as_py() + 1, k.as_py(), low.as_py(), high.as_py()).values()
-                flat = np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([own.values, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+        for _, bounds, names, ids in _rows(batches):
+            yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
 
-    store = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    return store.select("doc_ids", "n_docs", "width", "low_bits", "low", "high", "ids").mapInArrow(run, "doc_id long, ids array<long>")
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

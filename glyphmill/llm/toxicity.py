@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F, types as T
 
-from glyphmill.llm.common import table, utf8
+from glyphmill.llm.common import materialize, table, utf8
 from glyphmill.llm.decontamination import words
 from glyphmill.llm.quality_model import remainder, sample_of
 
@@ -73,25 +73,34 @@ class Model:
         return float(1 / (1 + np.exp(-raw)))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss (Adam on all rows)."""
-    m, ridge = pos.shape[1], ridge / len(pos)
-    theta, first, second = np.zeros(m + 1, np.float32), np.zeros(m + 1), np.zeros(m + 1)
-    theta[m] = np.log(prior / (1 - prior))
+def risk(theta: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk of the positives, risk of the negatives, their gradients) of weights and, last, bias, with logistic loss.
+
+    l(+) = log(1 + e^-z), l(-) = log(1 + e^z). The second risk is E_unl[l(-)] - prior * E_pos[l(-)] and may be negative.
+    """
+    m = pos.shape[1]
+    zp, zu = pos @ theta[:m] + theta[m], unl @ theta[:m] + theta[m]
 
     def sigma(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def pull(x: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Gradient of a mean over rows whose derivative by the score is d."""
-        return np.append(x.T @ d.astype(np.float32), d.sum()) / len(d)
+        return np.append(x.T @ d.astype(x.dtype), d.sum()) / len(d)
+
+    positives = prior * np.logaddexp(0, -zp).mean()
+    negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return positives, negatives, prior * pull(pos, sigma(zp) - 1), pull(unl, sigma(zu)) - prior * pull(pos, sigma(zp))
 
+
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk (Adam on all rows): where the negatives' risk is below zero, a step raises it."""
+    m, ridge = pos.shape[1], ridge / len(pos)
+    theta, first, second = np.zeros(m + 1, np.float32), np.zeros(m + 1), np.zeros(m + 1)
+    theta[m] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        zp, zu = pos @ theta[:m] + theta[m], unl @ theta[:m] + theta[m]
-        # l(+) = log(1 + e^-z), l(-) = log(1 + e^z)
-        negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_neg = pull(unl, sigma(zu)) - prior * pull(pos, sigma(zp))
-        grad = prior * pull(pos, sigma(zp) - 1) + grad_neg if negatives >= 0 else -grad_neg
+        _, negatives, grad_pos, grad_neg = risk(theta, pos, unl, prior)
+        grad = grad_pos + grad_neg if negatives >= 0 else -grad_neg
         grad[:m] += ridge * theta[:m]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - (rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -137,26 +146,28 @@ def _matrix(rows: list[list[float]], m: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> Model:
     """Fit on at most POSITIVES labelled toxic documents and about UNLABELLED others, drawn by hash over all.
 
-    The prior is the share of toxic rows among the labels. Without positives or words that tell them apart, the
+    The prior is the share of toxic rows among the labels where none is given. Both samples are found in one pass
+    over the documents and written; of rows that repeat a text one counts as a positive. Without positives or words that tell them apart, the
     score of every text is the prior.
     """
     share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label).alias("p")).first().p
-    prior = min(max(PRIOR if share is None else float(share), 1e-3), 0.999)
+    prior = min(max(prior if prior is not None else PRIOR if share is None else float(share), 1e-3), 0.999)
     nothing = Model(float(np.log(prior / (1 - prior))), {})
     ids = F.broadcast(sample_of(labels.where(F.col(label) == 1), label, POSITIVES).select("id").distinct())  # at most POSITIVES ids
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pos = own.join(ids, "id").dropDuplicates(["text"])
+    total = docs.count()
+    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(min(1.0, UNLABELLED / max(total, 1)) * (1 << 20))
+    picked = own.join(ids.withColumn("toxic", F.lit(True)), "id", "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"), chosen.alias("drawn"))
+    picked = materialize(picked.where("toxic OR drawn"), "sample")
+    pos, drawn = picked.where("toxic").dropDuplicates(["text"]), picked.where("drawn")
     n = pos.count()
     seen = pos.select(F.explode(marks_udf("text")).alias("w")).groupBy("w").count().where(F.col("count") >= max(LEAST, LEAST_SHARE * n))
     candidates = {bytes(r.w): r["count"] for r in seen.orderBy(F.desc("count"), "w").limit(CANDIDATES).collect()}
-    total = docs.count()
     if not candidates or not total:
         return nothing
-    part = min(1.0, UNLABELLED / total)
-    drawn = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(part * (1 << 20)))
     names = list(candidates)
     counted = drawn.select(F.explode(F.concat(F.array(F.lit(-1)), _places(names)("text"))).alias("at")).groupBy("at").count().collect()
     common = {r["at"]: r["count"] for r in counted}  # -1: all rows

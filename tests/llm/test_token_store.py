@@ -16,12 +16,23 @@ def test_elias_fano_round_trip(seed):
     rng = np.random.default_rng(seed)
     v = np.cumsum(rng.choice([0, 1, 3, 50, 100_000], size=rng.integers(1, 3000), p=[0.3, 0.3, 0.2, 0.15, 0.05]))
     ef = ts.EliasFano.encode(v)
-    assert (ef.values() == v).all()
+    assert (ef.select(0, len(v)) == v).all()
     for i in [0, len(v) - 1, *rng.integers(0, len(v), 60).tolist()]:
-        assert ef.select(i) == v[i]
+        assert ef.select(i)[0] == v[i]
+        n = int(rng.integers(0, len(v) - i + 1))
+        assert (ef.select(i, n) == v[i : i + n]).all()
+    with pytest.raises(IndexError):
+        ef.select(len(v))
+    assert len(ef.directory) <= 8 * (len(v) // ef.SAMPLED + 1)
     assert 8 * (len(ef.low) + len(ef.high)) <= len(v) * (3 + max(0, int(v[-1] // len(v)).bit_length())) + 16
 
 
+def test_elias_fano_of_wide_and_no_numbers():
+    v = np.array([0, 0, 5, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (ts.EliasFano.encode(v).select(0, 5) == v).all()
+    assert len(ts.EliasFano.encode(np.empty(0, np.uint64)).select(0, 0)) == 0
+
+
 def test_encoder_equals_the_tokenizer():
     rng = random.Random(9)
     odd = ["", " ", "A\tB", "don't stop", "I'LL we've", "x\x1cy z", "a b", "ﬁne Ǆ", "ΣΑΣ ΟΔΟΣ", "İstanbul", "é café.", "<|endoftext|> a", "a<|startoftext|>b.", "1234 v2.0,", "ÀÉ ß, ŉ.", "…", "日本語 テスト", " line", "🙂👍🏽 ok", "word.,", "idiot$$$", "x!?*#", "é%.", "$$", "a.b.", "ªº ª.", "a\x85b", "ﬀ K Å", "'s 'S", "q\x00r", "ͅx ẞ"]
@@ -48,7 +59,7 @@ def slow(rows):
 
 def test_store(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame([(-5, None), (-4, ""), (10**12, "long text, " * 40_000)], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(-(2**63), None), (-4, ""), (2**63 - 1, "x"), (10**12, "long text, " * 40_000)], docs.schema))
     want = slow(sorted((r.doc_id, r.text) for r in docs.collect()))
     for tokens in (300, ts.BLOCK_TOKENS):
         path = f"{tmp_path}/store{tokens}"

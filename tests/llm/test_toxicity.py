@@ -14,6 +14,52 @@ def test_risk_estimator_finds_the_separating_word():
     assert b < -1 and b + w[1] < -1 and w[0] + b > 1 and w[0] + w[1] + b > 1
 
 
+def test_gradients_are_finite_differences():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.random((7, 4)), rng.random((11, 4))
+    for prior in (0.1, 0.6):
+        theta = rng.normal(size=5)
+        values = tx.risk(theta, pos, unl, prior)
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-6
+            up, down = tx.risk(theta + step, pos, unl, prior), tx.risk(theta - step, pos, unl, prior)
+            for i in (0, 1):
+                assert abs((up[i] - down[i]) / 2e-6 - values[2 + i][k]) < 1e-6
+
+
+def test_a_negative_risk_turns_the_step():
+    pos, unl = np.ones((4, 1)), np.zeros((4, 1))
+    theta = np.array([9.0, -9.0])  # the unlabelled text is taken for clean, and much of it should be toxic
+    assert tx.risk(theta, pos, unl, 0.5)[1] < 0
+    w, b = tx.fit(pos.astype(np.float32), unl.astype(np.float32), 0.5)
+    assert tx.risk(np.append(w, b), pos, unl, 0.5)[1] > -0.2
+
+
+def test_scores_against_plain_counting(spark):
+    """Each feature's rate counted by itself, for every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = tx.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in tx.score_documents(docs, model).collect():
+        found = tx.words((texts[r.doc_id] or "").encode())
+        raw = model.bias
+        for f, weight in model.weights.items():
+            n = found.count(f[:-1]) if f.endswith(b"=") else sum(len(w) > 3 and w[: len(f)] == f and (len(f) >= 4) for w in found)
+            raw += weight * min(100 * n / (len(found) + tx.LONGER), tx.MOST)
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_ties_and_repeats_in_the_sample(spark):
+    rows = [(i, f"scum and filth {i} " * 5) for i in range(30)] + [(i, f"nice day number {i}") for i in range(30, 90)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)] * 2, "doc_id long, toxic int")
+    models = [tx.train(docs.repartition(n), labels.repartition(n)) for n in (1, 5)]
+    assert models[0].weights.keys() == models[1].weights.keys()
+    scores = [{r.doc_id: round(r.score, 4) for r in tx.score_documents(docs, m).collect()} for m in models]
+    assert scores[0] == scores[1] and scores[0][0] > 0.5 > scores[0][40]
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     out = tx.op8_toxicity(spark, d)
