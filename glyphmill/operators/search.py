@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions.arrays import common, let, starts
+
 CONTEXT = 48
 
 
+def _between(text: Column, needle: str, match_case: bool) -> Column:
+    """The pieces of text between the matches of needle. Case is folded letter by letter, so a match is as long as needle."""
+    return F.split(text, ("" if match_case else "(?iu)") + r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
+
+
 def offsets(text: Column, needle: str, match_case: bool = False) -> Column:
-    """Starts (from 0) of the matches of needle that don't overlap, left to right; none for an empty needle."""
+    """Starts (from 0) in text of the matches of needle that don't overlap, left to right; none for an empty needle."""
     if not needle:
         return F.array().cast("array<int>")
-    body, n = (text, needle) if match_case else (F.lower(text), needle.lower())
-    parts = F.split(body, r"\Q" + n.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    ends = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.aggregate(ends, start, lambda acc, p: F.struct((acc["at"] + F.length(p) + len(n)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out")), lambda acc: acc["out"])
+    return F.when(text.isNotNull(), let(_between(text, needle, match_case), lambda parts: starts(F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length), len(needle))))
 
 
 def find_matches(runs: DataFrame, needle: str, match_case: bool = False) -> DataFrame:
@@ -47,15 +50,22 @@ def with_sharers(runs: DataFrame, address: str = "run_id") -> DataFrame:
 
 
 def replace_all(text: Column, needle: str, replacement: str) -> Column:
-    """text with every match (lower-case search) replaced: the pieces between the matches, joined by the replacement."""
-    at = offsets(text, needle)
-    edges = F.concat(F.array(F.lit(0)), F.transform(at, lambda s: s + len(needle)))
-    stops = F.concat(at, F.array(F.length(text)))
-    return F.array_join(F.transform(F.arrays_zip(edges.alias("a"), stops.alias("b")), lambda p: text.substr(p["a"] + 1, p["b"] - p["a"])), replacement)
+    """text with every match (in either case) replaced: the pieces between the matches, joined by the replacement."""
+    return F.array_join(_between(text, needle, False), replacement) if needle else text
 
 
 def text_verdict(before: Column, after: Column, old: str, new: Column) -> Column:
-    """replaced if `after` is `before` with exactly one occurrence of old (any one) become new, else wrong; unverifiable if old isn't there."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(before), F.lit(1))), lambda p: before.substr(p, F.lit(len(old))) == old)
-    one = F.exists(places, lambda p: F.concat(F.left(before, p - 1), new, before.substr(p + len(old), F.length(before))) == after)
-    return F.when(F.size(places) == 0, "unverifiable").when(one, "replaced").otherwise("wrong")
+    """replaced if `after` is `before` with exactly one occurrence of old (any one) become new, else wrong; unverifiable if old isn't there.
+
+    The occurrence must end where the common end of both texts may begin and start where their common start may
+    stop, so only the places between these two are looked at.
+    """
+
+    def one(v: Column) -> Column:
+        low, high = F.greatest(F.lit(0), v["n"] - len(old) - v["end"]), F.least(v["start"], v["n"] - len(old))
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.exists(places, lambda p: (before.substr(p + 1, F.lit(len(old))) == old) & (after.substr(p + 1, F.length(new)) == new))
+
+    sizes = F.struct(F.length(before).alias("n"), common(before, after).alias("start"), common(F.reverse(before), F.reverse(after)).alias("end"))
+    fits = F.length(after) == F.length(before) - len(old) + F.length(new)
+    return F.when(F.instr(before, old) == 0, "unverifiable").when(fits & let(sizes, one), "replaced").otherwise("wrong")
