@@ -1,13 +1,14 @@
 """Text-showing operators and glyphs of PDF files, by a small reader in plain Python.
 
 It reads what the object model needs and no more: indirect objects (also in object streams), Flate and plain
-streams, the page tree, form XObjects, simple fonts' widths, and the content operators that place text, paths
+streams, the page tree, form XObjects, fonts (see fonts.py), and the content operators that place text, paths
 and images. What it can't read becomes a row with a reason, never a guess. Files arrive as Spark's binaryFile
 rows, so reading is spread over the executors, a file a row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.sources.fonts import Font
 from glyphmill.sources.tables import binary_documents
 
 MAX_DEPTH, MAX_STREAM = 64, 64 << 20
@@ -224,80 +226,100 @@ class State:
     leading: float = 0.0
     mode: int = 0
     fill: str = "0"
+    clipped: bool = False
     fonts: dict = field(default_factory=dict)
 
     def copy(self) -> State:
         return State(**self.__dict__)
 
 
-class Shape:
-    """The path under construction: its straight segments, unless a curve or a clip makes it something else."""
+# Operators and rulings of a page beyond which it has none, levels of saved states, and how far from
+# level or upright a ruling may be.
+MOST_OPERATORS, MOST_RULINGS, MOST_SAVED, SLANT = 100_000, 4096, 128, 0.01
+
+
+class Rulings:
+    """The straight lines that a page strokes. Anything unsure leaves them out: a curve or a slanting line its path, a clip
+    what is drawn until it ends, and broken syntax the page."""
 
     def __init__(self):
-        self.segments: list[tuple] = []
-        self.start = self.at = (0.0, 0.0)
+        self.found: list[tuple] = []
+        self.usable, self.n_saved, self.n_operators = True, 0, 0
+        self._begin()
+
+    def _begin(self) -> None:
+        self.path: list[tuple] = []
+        self.at = self.start = None
         self.plain = True
 
-    def add(self, op: str, v: list[float]) -> None:
+    def _line(self, end: tuple | None) -> None:
+        if self.at is None or end is None or not all(math.isfinite(v) for v in (*self.at, *end)):
+            self.plain = False
+        elif abs(self.at[0] - end[0]) > SLANT and abs(self.at[1] - end[1]) > SLANT:
+            self.plain = False
+        elif self.at != end:
+            self.path.append((*self.at, *end))
+        self.at = end
+
+    def saw(self, op: str, v: list, state: State, offset: int) -> None:
+        """An operator, with the state that it is drawn in."""
+        self.n_saved += (op == "q") - (op == "Q")
+        if not 0 <= self.n_saved <= MOST_SAVED or self.n_operators > MOST_OPERATORS or len(self.path) + len(self.found) > MOST_RULINGS:
+            self.usable = False
+
+        def point(x: float, y: float) -> tuple:
+            return times((1.0, 0.0, 0.0, 1.0, x, y), state.ctm)[4:]
+
         if op == "m":
-            self.start = self.at = (v[0], v[1])
+            self.at = self.start = point(v[0], v[1])
         elif op == "l":
-            self._to((v[0], v[1]))
-        elif op == "h":
-            self._to(self.start)
+            self._line(point(v[0], v[1]))
+        elif op == "h" and self.start:
+            self._line(self.start)
         elif op == "re":
             x, y, w, h = v[:4]
-            self.start = self.at = (x, y)
+            self.at = self.start = point(x, y)
             for corner in ((x + w, y), (x + w, y + h), (x, y + h), (x, y)):
-                self._to(corner)
-        elif op == "n":
-            self.__init__()
-        else:
+                self._line(point(*corner))
+        elif op in ("c", "v", "y"):
             self.plain = False
+        elif op in ("W", "W*"):
+            state.clipped = True
+        elif op in ("S", "s", "B", "B*", "b", "b*", "f", "F", "f*", "n"):
+            if op in ("s", "b", "b*") and self.start:
+                self._line(self.start)
+            if op not in ("f", "F", "f*", "n") and self.plain and not state.clipped:
+                self.found += [(offset, *p) for p in self.path]
+            self._begin()
 
-    def _to(self, point: tuple) -> None:
-        self.segments.append((*self.at, *point))
-        self.at = point
+    def rows(self) -> Iterator[dict]:
+        """The rulings in device space, each from its lower left end."""
+        for offset, a, b, c, d in self.found if self.usable else ():
+            yield {"kind": "ruling", "op_offset": offset, "x": min(a, c), "y": min(b, d), "dx": abs(a - c), "dy": abs(b - d), "path": []}
 
-    def rulings(self, ctm: tuple, close: bool) -> Iterator[tuple]:
-        """Its axis-aligned segments in device space, from the lower left up."""
-        if close:
-            self._to(self.start)
-        for x, y, u, v in self.segments if self.plain else ():
-            a, b = times((1, 0, 0, 1, x, y), ctm)[4:]
-            c, d = times((1, 0, 0, 1, u, v), ctm)[4:]
-            if (abs(a - c) < 1e-6) != (abs(b - d) < 1e-6):
-                yield min(a, c), min(b, d), max(a, c), max(b, d)
 
+PATHS = ("m", "l", "re", "h", "c", "v", "y", "W", "W*", "n", "f", "F", "f*", "S", "s", "B", "B*", "b", "b*")
 
-def _font(doc: Document, font: object) -> dict:
-    font = doc.get(font) or {}
-    first, widths = doc.get(font.get("/FirstChar")) or 0, doc.get(font.get("/Widths")) or []
-    descriptor = doc.get(font.get("/FontDescriptor")) or {}
-    missing = doc.get(descriptor.get("/MissingWidth")) or 500
-    return {"name": str(font.get("/BaseFont", "")).lstrip("/"), "simple": font.get("/Subtype") != "/Type0", "width": lambda c: widths[c - first] if 0 <= c - first < len(widths) else missing}
 
-
-def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State, path: tuple, depth: int) -> Iterator[dict]:
-    """Rows of a content stream: kind glyph, image, path or form, with place, font and offsets; forms are walked too."""
+def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State, path: tuple, depth: int, rulings: Rulings | None = None) -> Iterator[dict]:
+    """Rows of a content stream: kind glyph, image, path or form, with place, font and offsets; forms are walked too. rulings takes in a page's lines."""
     stack: list[State] = []
     tm = tlm = IDENTITY
     operands: list[object] = []
     fonts, xobjects = doc.get(resources.get("/Font")) or {}, doc.get(resources.get("/XObject")) or {}
     arrays: list[list] = []
-    shape = Shape()
 
     def show(s: bytes, offset: int, item: int | None) -> Iterator[dict]:
         nonlocal tm
-        font = state.fonts.get(state.font) or state.fonts.setdefault(state.font, _font(doc, fonts.get(state.font)))
-        for i, code in enumerate(s):
+        font = state.fonts.get(state.font) or state.fonts.setdefault(state.font, Font(doc.get, doc.content, tokens, doc.get(fonts.get(state.font)) or {}))
+        for i, code, ch, width in font.codes(s):
             trm = times((state.size * state.scale, 0.0, 0.0, state.size, 0.0, state.rise), times(tm, state.ctm))
-            wide = (doc.get(font["width"](code)) / 1000 * state.size + state.char_space + (state.word_space if code == 32 else 0.0)) * state.scale
+            wide = (width / 1000 * state.size + state.char_space + (state.word_space if code == 32 and font.n_bytes == 1 else 0.0)) * state.scale
             moved = times((1.0, 0.0, 0.0, 1.0, wide, 0.0), tm)
             end = times((1.0, 0.0, 0.0, 1.0, 0.0, 0.0), times(moved, state.ctm))
             yield {
-                "kind": "glyph", "op_offset": offset, "item": item, "byte": i, "code": code, "ch": bytes([code]).decode("cp1252", "replace") if font["simple"] else None, "x": trm[4], "y": trm[5],
-                "dx": end[4] - times(tm, state.ctm)[4], "dy": end[5] - times(tm, state.ctm)[5], "em": (trm[2] ** 2 + trm[3] ** 2) ** 0.5, "font": font["name"], "mode": state.mode, "visible": state.mode not in (3, 7), "rise": state.rise, "fill": state.fill,
+                "kind": "glyph", "op_offset": offset, "item": item, "byte": i, "code": code, "ch": ch, "x": trm[4], "y": trm[5],
+                "dx": end[4] - times(tm, state.ctm)[4], "dy": end[5] - times(tm, state.ctm)[5], "em": (trm[2] ** 2 + trm[3] ** 2) ** 0.5, "font": font.name, "mode": state.mode, "visible": state.mode not in (3, 7), "rise": state.rise, "fill": state.fill,
             }
             tm = moved
 
@@ -312,7 +334,11 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
                 (arrays[-1] if arrays else operands).append(t)
             continue
         n, rows = operands, []
+        if rulings:
+            rulings.n_operators += 1
         try:
+            if rulings and (t in PATHS or t in ("q", "Q")):
+                rulings.saw(t, [float(v) for v in n], state, offset)
             if t == "q":
                 stack.append(state.copy())
             elif t == "Q":
@@ -347,14 +373,8 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
                             yield r | {"path": list(path)}
                     else:
                         tm = times((1.0, 0.0, 0.0, 1.0, -float(item) / 1000 * state.size * state.scale, 0.0), tm)
-            elif t in ("m", "l", "re", "h", "c", "v", "y", "W", "W*", "n"):
-                shape.add(t, [float(v) for v in n])
-                rows = [{"kind": "path", "op_offset": offset}] if t == "re" else []  # counted as painting operators are
-            elif t in ("f", "F", "f*", "S", "s", "B", "B*", "b", "b*"):
+            elif t in ("re", "f", "F", "f*", "S", "s", "B", "B*", "b", "b*"):
                 rows = [{"kind": "path", "op_offset": offset}]
-                if t not in ("f", "F", "f*"):
-                    rows += [{"kind": "ruling", "op_offset": offset, "x": a, "y": b, "dx": c - a, "dy": d - b} for a, b, c, d in shape.rulings(state.ctm, close=t in ("s", "b", "b*"))]
-                shape = Shape()
             elif t == "Do":
                 ref = xobjects.get(n[-1])
                 x = doc.get(ref)
@@ -368,10 +388,13 @@ def walk(doc: Document, page: dict, body: bytes, resources: dict, state: State,
                     inner.ctm, inner.fonts = times(tuple(matrix), state.ctm), {}
                     yield {"kind": "form", "op_offset": offset, "code": ref[0], "path": list(path)}
                     yield from walk(doc, page, doc.content(x), doc.get(x.info.get("/Resources")) or resources, inner, (*path, ref[0]), depth + 1)
-        except (IndexError, TypeError, ValueError):
-            rows = [{"kind": "refused", "op_offset": offset, "ch": f"malformed operands of {t}"}]
-        for r in rows:
-            yield r | {"path": list(path)}
+            for r in rows:
+                yield r | {"path": list(path)}
+        except (IndexError, TypeError, ValueError) as e:
+            if rulings and (t in PATHS or t == "cm"):
+                rulings.usable = False
+            said = str(e) if str(e) == "codes of unknown width" else f"malformed operands of {t}"
+            yield {"kind": "refused", "op_offset": offset, "ch": said, "path": list(path)}
         operands = []
 
 
@@ -407,7 +430,9 @@ def rows_of(path: str, source_hash: str, data: bytes) -> Iterator[dict]:
         starts = [0]
         for b in bodies:
             starts.append(starts[-1] + len(b) + 1)
-        for i, r in enumerate(walk(doc, page, b"\n".join(bodies), doc.get(page.get("/Resources")) or {}, State(), (), 0)):
+        rulings = Rulings()
+        rows = walk(doc, page, b"\n".join(bodies), doc.get(page.get("/Resources")) or {}, State(), (), 0, rulings)
+        for i, r in enumerate(r for found in (rows, rulings.rows()) for r in found):
             part = max(k for k, s in enumerate(starts[:-1] or [0]) if s <= r["op_offset"]) if not r["path"] else 0
             yield place | r | {"path": path, "xobj_path": r["path"], "ord": i, "part": part, "op_offset": r["op_offset"] - (starts[part] if not r["path"] else 0)}
 
@@ -429,8 +454,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def content(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """Rows of SCHEMA for the PDF files under path: pages, glyphs, images, paths, forms and refusals."""
-    return binary_documents(spark, path, pattern).select("path", "source_hash", "content").mapInArrow(_scan, SCHEMA)
+    """Rows of SCHEMA for the PDF files under path: pages, glyphs, images, paths, rulings, forms and refusals."""
+    return scan(binary_documents(spark, path, pattern))
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """Rows of SCHEMA for files (path, source_hash, content)."""
+    return files.select("path", "source_hash", "content").mapInArrow(_scan, SCHEMA)
 
 
 def glyphs(rows: DataFrame) -> DataFrame:
