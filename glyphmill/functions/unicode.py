@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F, types as T
@@ -33,10 +34,46 @@ def _decomposed(chars: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]
     return out
 
 
-def project(text: str, match_case: bool = False) -> tuple[str, list[tuple[int, int]]]:
-    """(projected text, source span of each of its UTF-16 units)."""
+class _Folds(dict):
+    """Each character's own projection, kept once it is known."""
+
+    def __init__(self, match_case: bool):
+        super().__init__()
+        self.match_case = match_case
+
+    def __missing__(self, c: str) -> str:
+        done = unicodedata.normalize("NFKD", c)
+        self[c] = done if self.match_case else unicodedata.normalize("NFKD", done.casefold())
+        return self[c]
+
+
+_FOLDS = {m: _Folds(m) for m in (False, True)}
+
+
+def _spans(text: str, match_case: bool) -> tuple[str, np.ndarray, np.ndarray]:
+    """(projected text, first and last source unit of each of its units).
+
+    Characters project by themselves, unless marks change places over them: what the whole text's projection tells.
+    """
     if text.isascii():  # each character is a unit and stays one
-        return text if match_case else text.lower(), [(i, i + 1) for i in range(len(text))]
+        at = np.arange(len(text), dtype=np.int32)
+        return text if match_case else text.lower(), at, at + 1
+    folds = _FOLDS[match_case]
+    parts = list(map(folds.__getitem__, text))
+    shown = "".join(parts)
+    whole = unicodedata.normalize("NFKD", text)
+    if shown != (whole if match_case else unicodedata.normalize("NFKD", whole.casefold())):
+        shown, spans = _spans_by_character(text, match_case)
+        low, high = np.array(spans, np.int32).reshape(-1, 2).T
+        return shown, low, high
+    wide = max(text) > "\uffff"
+    own = np.fromiter(map(units, text), np.int32, len(text)) if wide else np.ones(len(text), np.int32)
+    made = np.fromiter(map(units if max(shown, default="") > "\uffff" else len, parts), np.int32, len(parts))
+    ends = np.cumsum(own, dtype=np.int32)
+    return shown, np.repeat(ends - own, made), np.repeat(ends, made)
+
+
+def _spans_by_character(text: str, match_case: bool) -> tuple[str, list[tuple[int, int]]]:
     tagged, at = [], 0
     for c in text:
         tagged.append((c, at, at + units(c)))
@@ -47,20 +84,37 @@ def project(text: str, match_case: bool = False) -> tuple[str, list[tuple[int, i
     return "".join(c for c, _, _ in done), [(s, e) for c, s, e in done for _ in range(units(c))]
 
 
-def _boundaries(text: str, pattern: str) -> set[int]:
-    """Ends of all pieces that the pattern finds, in UTF-16 units."""
-    out, at = {0}, 0
-    for m in regex.finditer(pattern, text):
-        at += units(m[0])
-        out.add(at)
-    return out
+def project(text: str, match_case: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """(projected text, source span of each of its UTF-16 units)."""
+    shown, low, high = _spans(text, match_case)
+    return shown, list(zip(low.tolist(), high.tolist(), strict=True))
+
+
+class _Edges:
+    """Where pieces of a text may begin and end, line by line as they are asked for: a line feed parts pieces of any kind."""
+
+    def __init__(self, text: str, pattern: regex.Pattern, whole: bool):
+        self.text, self.pattern, self.whole, self.known = text, pattern, whole, {}
 
+    def holds(self, at: int) -> bool:
+        low = self.text.rfind("\n", 0, at) + 1
+        if at in (0, len(self.text)):
+            return True
+        if low not in self.known:
+            high = self.text.find("\n", low) + 1 or len(self.text)
+            found = self.pattern.finditer(self.text, low, high)
+            self.known[low] = {m.end() if self.whole else m.start() for m in found} | {low, high}
+        return at in self.known[low]
 
-def _word_ends(text: str) -> set[int]:
-    at = {0: 0}
-    for i, c in enumerate(text, 1):
-        at[i] = at[i - 1] + units(c)
-    return {0, at[len(text)], *(at[m.start()] for m in regex.finditer(r"(?w)\b", text))}
+
+WORDS, GRAPHEMES = regex.compile(r"(?w)\b"), regex.compile(r"\X")
+
+
+def _places(text: str) -> np.ndarray | range:
+    """The UTF-16 offset of each character, and the end's."""
+    if not text or max(text) <= "\uffff":
+        return range(len(text) + 1)
+    return np.concatenate(([0], np.cumsum(np.fromiter(map(units, text), np.int64, len(text)))))
 
 
 def find(text: str, needle: str, match_case: bool = False, whole_words: bool = False) -> list[tuple[int, int, str, bool]]:
@@ -72,33 +126,46 @@ def find(text: str, needle: str, match_case: bool = False, whole_words: bool = F
     want = project(needle, match_case)[0]
     if not want:
         return []
-    if text.isascii() and not whole_words and "\r" not in text:  # every character is a grapheme
-        shown = text if match_case else text.lower()
-        starts = [m.start() for m in regex.finditer(regex.escape(want), shown)]
-        return [(k, k + len(want), text[k : k + len(want)], True) for k in starts]
-    shown, spans = project(text, match_case)
-    at = [0]
-    for c in shown:
-        at.append(at[-1] + units(c))
-    words = _word_ends(shown) if whole_words else None
-    graphemes = _boundaries(text, r"\X")
-    raw = text.encode("utf-16-le", "surrogatepass")
+    plain = text.isascii()
+    shown = (text if match_case else text.lower()) if plain else None
+    if plain and want not in shown:
+        return []
+    if not plain:
+        shown, low, high = _spans(text, match_case)
+        if want not in shown:
+            return []
+    words = _Edges(shown, WORDS, False) if whole_words else None
+    graphemes = _Edges(text, GRAPHEMES, True)
+    at = _places(shown)
+    source = _places(text)
+    raw = None if plain else text.encode("utf-16-le", "surrogatepass")
     out, start = [], 0
     while (k := shown.find(want, start)) >= 0:
         start = k + len(want)
-        a, b = at[k], at[start]
-        if words is not None and not (a in words and b in words):
+        if words is not None and not (words.holds(k) and words.holds(start)):
+            continue
+        if plain:
+            out.append((k, start, text[k:start], "\r" not in text or (graphemes.holds(k) and graphemes.holds(start))))
             continue
-        s, e = min(x for x, _ in spans[a:b]), max(y for _, y in spans[a:b])
-        inside = all(a <= i < b for i, (x, y) in enumerate(spans[max(0, a - 64) : b + 64], max(0, a - 64)) if x < e and y > s)
-        out.append((s, e, raw[2 * s : 2 * e].decode("utf-16-le", "surrogatepass"), inside and s in graphemes and e in graphemes))
+        a, b = int(at[k]), int(at[start])
+        s, e = int(low[a:b].min()), int(high[a:b].max())
+        near = slice(max(0, a - 64), b + 64)
+        own = np.flatnonzero((low[near] < e) & (high[near] > s)) + near.start
+        inside = bool(((own >= a) & (own < b)).all())
+        first, last = (int(np.searchsorted(source, v)) for v in (s, e))
+        safe = inside and source[first] == s and source[last] == e and graphemes.holds(first) and graphemes.holds(last)
+        out.append((s, e, raw[2 * s : 2 * e].decode("utf-16-le", "surrogatepass"), safe))
     return out
 
 
 @F.arrow_udf(PROJECTION)
 def project_udf(text: pa.Array) -> pa.Array:
-    rows = [None if t is None else project(t) for t in text.to_pylist()]
-    return pa.array([r and {"text": r[0], "spans": [{"s": s, "e": e} for s, e in r[1]]} for r in rows], pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))
+    rows = [None if t is None else _spans(t, False) for t in text.to_pylist()]
+    sizes = [0 if r is None else len(r[1]) for r in rows]
+    low, high = (np.concatenate([np.empty(0, np.int32), *[r[i] for r in rows if r is not None]]).astype(np.int32) for i in (1, 2))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["s", "e"]))
+    return pa.StructArray.from_arrays([pa.array([r and r[0] for r in rows], pa.string()), spans], ["text", "spans"], mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
 def find_udf(needle: str, match_case: bool = False, whole_words: bool = False):
