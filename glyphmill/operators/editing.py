@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.operators.joins import reach
+
 
 def splice(instructions: Column, touched: Column, replacement: Column) -> Column:
     """An array of instructions with replacement in the place of the first touched ordinal (from 0) and the other touched ones gone."""
@@ -102,11 +103,6 @@ def replay_text_state(ops: DataFrame) -> DataFrame:
 
 def tree_counts(nodes: DataFrame) -> DataFrame:
     """(root, n): nodes (id, parent; null parent for roots) below each root, itself included; cycles count once."""
-    reached = nodes.where("parent IS NULL").select(F.col("id").alias("root"), "id", F.lit(0).alias("round")).checkpoint()
-    for i in count(1):
-        step = reached.where(F.col("round") == i - 1).withColumnRenamed("id", "above").join(nodes, F.col("above") == F.col("parent")).select("root", "id", F.lit(i).alias("round"))
-        grown = reached.union(step).groupBy("root", "id").agg(F.min("round").alias("round")).checkpoint()
-        if grown.where(F.col("round") == i).isEmpty():
-            break
-        reached = grown
+    links = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.col("id").alias("_to"))
+    reached = reach(nodes.where("parent IS NULL").select(F.col("id").alias("root"), "id"), links, ["root"], "id")
     return reached.groupBy("root").agg(F.count("*").alias("n"))

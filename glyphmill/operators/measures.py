@@ -67,13 +67,22 @@ def coverage(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     b = b.select("page_id", *[F.expr(e).alias(n) for n, e in {
         "ax": "greatest(x0, px0) - px0", "ay": "greatest(y0, py0) - py0", "bx": "least(x1, px1) - px0", "by": "least(y1, py1) - py0", "w": "px1 - px0", "h": "py1 - py0"}.items()]).where("bx > ax AND by > ay")
 
-    def cells(low: str, high: str, size: str) -> Column:
-        first = F.least(F.lit(GRID - 1), F.floor(F.col(low) / F.col(size) * GRID)).cast("int")
-        last = F.least(F.lit(GRID), F.ceil(F.col(high) / F.col(size) * GRID)).cast("int")
-        return F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
-
-    touched = b.select("page_id", F.explode(cells("ax", "bx", "w")).alias("col"), "ay", "by", "h").select("page_id", "col", F.explode(cells("ay", "by", "h")).alias("row"))
-    n = touched.distinct().groupBy("page_id").agg(F.count("*").alias("covered"))
+    def first(low: str, size: str) -> Column:
+        return F.least(F.lit(GRID - 1), F.floor(F.col(low) / F.col(size) * GRID)).cast("int")
+
+    def last(high: str, size: str) -> Column:
+        return F.least(F.lit(GRID), F.ceil(F.col(high) / F.col(size) * GRID)).cast("int")
+
+    def ones(part: int) -> Column:
+        """The columns of the part'th half of a grid's row, as bits."""
+        low, high = (F.least(F.greatest(F.col(c) - part * GRID // 2, F.lit(0)), F.lit(GRID // 2)) for c in ("c0", "c1"))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), high) - F.call_function("shiftleft", F.lit(1).cast("long"), low)
+
+    # a row for each row of the grid that a box touches, its columns as two numbers, which are combined before they are shuffled
+    spans = b.select("page_id", first("ax", "w").alias("c0"), last("bx", "w").alias("c1"), first("ay", "h").alias("r0"), last("by", "h").alias("r1")).where("c1 > c0 AND r1 > r0")
+    rows = spans.select("page_id", ones(0).alias("left"), ones(1).alias("right"), F.explode(F.sequence("r0", F.col("r1") - 1)).alias("row"))
+    masks = rows.groupBy("page_id", "row").agg(F.bit_or("left").alias("left"), F.bit_or("right").alias("right"))
+    n = masks.groupBy("page_id").agg(F.sum(F.bit_count("left") + F.bit_count("right")).alias("covered"))
     return pages.select("page_id").join(n, "page_id", "left").select("page_id", F.coalesce("covered", F.lit(0)).alias("covered"), (F.coalesce("covered", F.lit(0)) / F.lit(GRID * GRID)).alias("coverage"))
 
 

@@ -7,9 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions.arrays import let
+
+
+def increasing(groups: Column) -> Column:
+    """Whether every group holds a page and pages strictly increase, from one group to the next too; a split needs that."""
+    rising = let(F.flatten(groups), lambda p: F.forall(F.transform(p, lambda v, i: (i == 0) | (v > F.get(p, i - 1))), lambda ok: ok))
+    return (F.size(groups) > 0) & F.forall(groups, lambda g: F.size(g) > 0) & rising
+
 
 def page_groups(spec: Column) -> Column:
     """`1-3;5` as [[0, 1, 2], [4]]: groups of pages from 0, in the order given."""
+
     def pages(part: Column) -> Column:
         ends = F.transform(F.split(F.trim(part), "-"), lambda x: F.trim(x).cast("int"))
         return F.sequence(ends[0] - 1, F.element_at(ends, -1) - 1)
@@ -54,11 +63,11 @@ def rotate(rotation: Column, quarters: Column) -> Column:
     return F.pmod(rotation + 90 * quarters, F.lit(360))
 
 
-def merge(first: DataFrame, second: DataFrame, at: int) -> DataFrame:
-    """The pages (page, ...) of second put before page `at` of first."""
+def merge(first: DataFrame, second: DataFrame, keys: list[str], at: int) -> DataFrame:
+    """The pages (keys, page, ...) of second put before page `at` of the first's document with equal keys."""
     place = F.when(F.col("_side") == 0, F.when(F.col("page") < at, 0).otherwise(2)).otherwise(1)
     both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
-    order = W.orderBy(place, "page")
+    order = W.partitionBy(*keys).orderBy(place, "page")
     return both.withColumn("page", (F.row_number().over(order) - 1).cast("int")).drop("_side")
 
 

@@ -36,18 +36,23 @@ def report(plan: DataFrame) -> DataFrame:
 
 
 def apply(runs: DataFrame, plan: DataFrame) -> DataFrame:
-    """runs (source, run_id, text, ...) with the new texts of the recipes that are wholly ok; the others change nothing."""
-    good = plan.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(W.partitionBy("source"))).where("all_ok = 1")
-    return runs.join(good.select("run_id", "new_text"), "run_id", "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
+    """runs (source, run_id, text, ...) with the new texts of the recipes that are wholly ok; the others change nothing.
+
+    A plan speaks of its own source's runs only, and one that names a run twice is not ok.
+    """
+    ops = plan.groupBy("source", "run_id").agg((F.bool_and("ok") & (F.count("*") == 1)).alias("ok"), F.min("new_text").alias("new_text"))
+    good = ops.withColumn("all_ok", F.min(F.col("ok").cast("int")).over(W.partitionBy("source"))).where("all_ok = 1")
+    return runs.join(good.select("source", "run_id", "new_text"), ["source", "run_id"], "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
 
 
 def upsert(recipe: DataFrame, ops: DataFrame) -> DataFrame:
-    """(pos, run_id, new_text): an operation on a known run takes that one's place, a new one goes to the end."""
-    last = recipe.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
-    old = recipe.join(ops.select("run_id", F.col("new_text").alias("newer")), "run_id", "left").select("pos", "run_id", F.coalesce("newer", "new_text").alias("new_text"))
-    fresh = ops.join(recipe, "run_id", "left_anti").crossJoin(F.broadcast(last))  # one row
-    rank = F.row_number().over(W.orderBy("pos"))
-    return old.union(fresh.select((F.col("last") + rank).alias("pos"), "run_id", "new_text"))
+    """(source, pos, run_id, new_text): an operation on a known run takes that one's place, a new one goes to the end."""
+    keys = ["source", "run_id"]
+    last = recipe.groupBy("source").agg(F.max("pos").alias("last"))
+    old = recipe.join(ops.select(*keys, F.col("new_text").alias("newer")), keys, "left").select("source", "pos", "run_id", F.coalesce("newer", "new_text").alias("new_text"))
+    fresh = ops.join(recipe, keys, "left_anti").join(last, "source", "left")
+    rank = F.row_number().over(W.partitionBy("source").orderBy("pos"))
+    return old.union(fresh.select("source", (F.coalesce("last", F.lit(-1)) + rank).alias("pos"), "run_id", "new_text"))
 
 
 def preview(candidates: DataFrame, resolve: Callable[[DataFrame], DataFrame], rounds: int = 100) -> DataFrame:
