@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.arrays import let
+
 # The grammar of a run id.
 NAME = r"[A-Za-z0-9_.+-]+"
 PATTERN = rf"^([0-9a-f]{{64}}):p(\d+):c(\d+)((?:/x\d+)*)(?:/a(\d+):({NAME}))?(?:/t(\d+))?(?:/y({NAME}))?:o(\d+)(?::g(\d+)-(\d+))?$"
@@ -27,6 +29,25 @@ def _maybe(prefix: str, value: Column | None, between: str = "", more: Column |
     return F.coalesce(F.concat(F.lit(prefix), *values), F.lit(""))
 
 
+# The operators of content streams, and the bytes that end a token.
+OPERATORS = (
+    "b B b* B* BDC BI BMC BT BX c cm CS cs d d0 d1 Do DP EI EMC ET EX f F f* G g gs h i ID j J k K l m M MP n q Q re RG rg ri s S SC sc SCN scn sh T* Tc Td TD Tf Tj TJ TL Tm Tr Ts Tw Tz v w W W* y ' \""
+).split()
+BOUNDARY = r"\x00\t\n\x0c\r ()<>\[\]{}/%"
+
+
+def resolves(run_id: Column, parts: Column) -> Column:
+    """Whether an operator of the part that run_id names starts at its offset; parts: a map of part numbers to their bytes."""
+
+    def at(v: Column) -> Column:
+        token = F.regexp_extract(v["body"].substr(v["offset"] + 1, F.length(v["body"])), f"^[^{BOUNDARY}]+", 0)
+        starts = (v["offset"] == 0) | v["body"].substr(v["offset"], F.lit(1)).rlike(f"[{BOUNDARY}]")
+        return (v["offset"] < F.length(v["body"])) & starts & token.isin(*OPERATORS)
+
+    where = let(decode(run_id), lambda p: F.struct(F.decode(F.try_element_at(parts, p["part"].cast("int")), "ISO-8859-1").alias("body"), p["byte_offset"].cast("int").alias("offset")))
+    return F.coalesce(let(where, at), F.lit(False))
+
+
 def is_valid(run_id: Column) -> Column:
     """Whether all of run_id is in the grammar; a line feed behind it is not."""
     return F.coalesce(run_id.rlike(PATTERN[:-1] + r"\z"), F.lit(False))

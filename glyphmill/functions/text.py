@@ -15,6 +15,18 @@ def subset_tag(name: Column) -> Column:
     return reduce(lambda a, b: F.concat(a, b), letters)
 
 
+# Words that tell no product, and the name of none.
+FILLERS = ("for", "version", "ver", "by", "the", "on")
+UNKNOWN = "unknown"
+
+
+def producer(raw: Column) -> Column:
+    """A product's name from a producer's line: letters only, lower case, without versions and fillers, 60 characters at most."""
+    words = F.split(F.lower(F.trim(F.regexp_replace(raw, "[^a-zA-Z]+", " "))), " ")
+    kept = F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*FILLERS)), " ")
+    return F.left(F.coalesce(F.nullif(kept, F.lit("")), F.lit(UNKNOWN)), F.lit(60))
+
+
 def base_font_name(name: Column) -> Column:
     """A font's name without leading slashes and subset tag."""
     return F.regexp_replace(F.regexp_replace(name, "^/+", ""), r"^[A-Z]{6}\+(?=.)", "")

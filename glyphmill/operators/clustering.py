@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions import run_ids
+from glyphmill.functions.arrays import let
+
 # Fixed values, in hundredths of an em: a gap above BREAK or below OVERLAP ends a run, one above SPACE reads as a space.
 SPACE, BREAK, OVERLAP = 10, 33, -20
 # In hundredths of an em: a new baseline; a rise that splits. In per cent: a change of size that splits.
@@ -65,6 +70,91 @@ def fragments(islands: DataFrame, keys: list[str], bad: Column) -> DataFrame:
     return rows.withColumn("_new", new.cast("int")).withColumn("fragment", F.sum("_new").over(order)).drop("_new")
 
 
+def cluster_page(glyphs: DataFrame) -> DataFrame:
+    """Addressed runs of located glyphs: (source_hash, page, xobj_path, part, run_id, g_start, g_end, text, n_glyphs, editable, em).
+
+    glyphs: source_hash, page, part, xobj_path, ord, op_offset, ch, x, y, dir_x, dir_y, adv_x, adv_y, em, font_id,
+    visible, fill_color, rise, editable. Per page, path, part and angle, glyphs are banded by their place across the
+    reading direction, ordered along it, split into runs where font, size, rise, visibility, colour or the gap
+    breaks, and each run into fragments: bad glyphs alone, good stretches as long as can be. All fragments of a run
+    have the address of its first glyph; g_start and g_end tell them apart, and are null where there is but one.
+    All windows refine one partitioning, so rows move once.
+    """
+    keys = ["source_hash", "page", "xobj_path", "part"]
+    norm = F.sqrt(F.col("dir_x") * F.col("dir_x") + F.col("dir_y") * F.col("dir_y"))
+    rows = glyphs.withColumns({"_ux": F.when(norm == 0, 1.0).otherwise(F.col("dir_x") / norm), "_uy": F.when(norm == 0, 0.0).otherwise(F.col("dir_y") / norm), "_angle": angle_bucket(F.col("dir_x"), F.col("dir_y"))})
+    rows = rows.withColumns({"_along": F.col("x") * F.col("_ux") + F.col("y") * F.col("_uy"), "_perp": F.col("y") * F.col("_ux") - F.col("x") * F.col("_uy"), "_end": F.col("adv_x") * F.col("_ux") + F.col("adv_y") * F.col("_uy")})
+    keys = [*keys, "_angle"]
+    across = W.partitionBy(*keys).orderBy("_perp", "ord")
+    far = F.abs(F.col("_perp") - F.lag("_perp").over(across)) >= F.lit(BAND / 100) * F.col("em")
+    rows = rows.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("_band", F.sum("_new").over(across))
+    keys = [*keys, "_band"]
+    along = W.partitionBy(*keys).orderBy("_along", "_perp", "ord")
+
+    def was(name: str) -> Column:
+        return F.lag(name).over(along)
+
+    rows = rows.withColumn("_gap", F.when(F.col("em") != 0, (F.col("_along") - (was("_along") + was("_end"))) / F.col("em")).otherwise(0.0))
+    risen = (F.col("em") > 0) & (F.col("rise") != was("rise")) & (F.abs(F.col("rise") - was("rise")) >= F.lit(RISE / 100) * F.col("em"))
+    breaks = risen | (F.abs(F.col("em") - was("em")) > F.lit(SIZE / 100) * was("em")) | (F.col("_gap") > BREAK / 100) | (F.col("_gap") < OVERLAP / 100)
+    for name in ("font_id", "visible", "fill_color"):
+        breaks = breaks | ~F.col(name).eqNullSafe(was(name))
+    rows = rows.withColumn("_new", F.coalesce(was("ord").isNull() | breaks, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(along))
+    keys = [*keys, "_run"]
+    order = W.partitionBy(*keys).orderBy("_along", "_perp", "ord")
+    cut = ~F.col("editable") | F.coalesce(~F.lag("editable").over(order), F.lit(True))
+    rows = rows.withColumn("_place", F.row_number().over(order) - 1).withColumn("_new", cut.cast("int")).withColumn("_fragment", F.sum("_new").over(order)).withColumn("_anchor", F.first("op_offset").over(order))
+    opens = F.col("_new") == 1
+    part = F.concat(F.when(~opens & (F.col("_gap") > SPACE / 100) & (F.col("_gap") <= BREAK / 100), " ").otherwise(""), F.coalesce("ch", F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("_place", part.alias("_c"))))
+    found = rows.groupBy(*keys, "_fragment").agg(
+        F.min("_place").alias("_start"), (F.max("_place") + 1).alias("_stop"), F.first("_anchor").alias("_anchor"), F.bool_and("editable").alias("editable"), F.first("em").alias("em"),
+        F.array_join(F.transform(parts, lambda p: p["_c"]), "").alias("text"), F.count("*").alias("n_glyphs"))
+    several = F.max("_fragment").over(W.partitionBy(*keys)) > 1
+    found = found.withColumn("g_start", F.when(several, F.col("_start"))).withColumn("g_end", F.when(several, F.col("_stop")))
+    run_id = run_ids.encode(F.col("source_hash"), F.col("page"), F.col("part"), F.col("_anchor"), xobj_path=F.col("xobj_path"), g_start=F.col("g_start"), g_end=F.col("g_end"))
+    return found.select("source_hash", "page", "xobj_path", "part", run_id.alias("run_id"), "g_start", "g_end", "text", "n_glyphs", "editable", "em")
+
+
+def line_islands(glyphs: Column) -> Column:
+    """The islands of one line's glyphs: an array of arrays of them, each glyph with gap and spaced.
+
+    glyphs: an array of structs (ord, ch, x, advance, em) in the order of x and ord, of one font, size and style.
+    What islands() finds by windows over rows, without moving a row: lines come whole from a text, while glyphs
+    that a page's operators show in any order go through islands().
+    """
+    return let(glyphs, lambda g: let(F.transform(g, lambda v, i: F.when(i > 0, v["x"] - F.get(g, i - 1)["x"] - F.get(g, i - 1)["advance"])), lambda gaps: _cut_islands(g, gaps)))
+
+
+def _cut_islands(g: Column, gaps: Column) -> Column:
+    def breaks(i: Column) -> Column:
+        gap, em = F.get(gaps, i) * 100, F.get(g, i)["em"]
+        return F.coalesce((gap > F.lit(BREAK) * em) | (gap < F.lit(OVERLAP) * em), F.lit(True))
+
+    def glyph(v: Column, i: Column) -> Column:
+        return F.struct(v["ord"].alias("ord"), v["ch"].alias("ch"), v["x"].alias("x"), v["advance"].alias("advance"), F.get(gaps, i).alias("gap"), (~breaks(i) & (F.get(gaps, i) * 100 > F.lit(SPACE) * v["em"])).alias("spaced"))
+
+    firsts = F.filter(F.transform(g, lambda v, i: F.when(breaks(i), i)), lambda i: i.isNotNull())
+    return let(F.transform(g, glyph), lambda marked: pieces(marked, firsts))
+
+
+def pieces(values: Column, firsts: Column) -> Column:
+    """An array cut before each of the places `firsts` (from 0, the first of them 0)."""
+    return let(firsts, lambda at: F.transform(at, lambda a, k: F.slice(values, a + 1, F.coalesce(F.get(at, k + 1), F.size(values)) - a)))
+
+
+def line_display(island: Column) -> Column:
+    """(text, x0, x1, n_glyphs) of one of line_islands()."""
+    text = F.array_join(F.transform(island, lambda v, i: F.concat(F.when((i > 0) & v["spaced"], " ").otherwise(""), F.coalesce(v["ch"], F.lit("")))), "")
+    return F.struct(text.alias("text"), island[0]["x"].alias("x0"), F.array_max(F.transform(island, lambda v: v["x"] + v["advance"])).alias("x1"), F.size(island).cast("long").alias("n_glyphs"))
+
+
+def line_fragments(island: Column, bad: Callable[[Column], Column]) -> Column:
+    """The fragments of one of line_islands(): (bad, n_glyphs) each; each bad glyph is alone."""
+    marks = F.transform(island, lambda v: bad(v["ch"]))
+    return let(marks, lambda m: F.transform(pieces(m, F.filter(F.transform(m, lambda b, i: F.when((i == 0) | b | F.coalesce(F.get(m, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())), lambda f: F.struct(f[0].alias("bad"), F.size(f).cast("long").alias("n_glyphs"))))
+
+
 def gap_islands(rows: DataFrame, keys: list[str], order: list[str], at: Column, most: int) -> DataFrame:
     """rows with island: a new one where `at` is more than `most` after the row before."""
     w = W.partitionBy(*keys).orderBy(*order)

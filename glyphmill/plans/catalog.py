@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from glyphmill.plans import checks, documents, editing, tables  # noqa: F401  (they register themselves)
+from glyphmill.plans import checks, documents, editing, evidence, tables  # noqa: F401  (they register themselves)
 from glyphmill.plans.registry import QUERIES, SQL
 
 

@@ -13,14 +13,14 @@ CHARS = [(c, "n" + c) for c in "abcdefghijklmnopqrstuvwxyz .,éèöü"]
 PRESENT = [("n" + c,) for c in "abcdefghijklmnoprstuvwxyz .,é"]
 
 
-@query(f"""WITH t AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS text FROM documents), n AS (SELECT * FROM (VALUES {values(CHARS)}) t(ch, name)), p AS (SELECT * FROM (VALUES {values(PRESENT)}) t(name)),
+@query(f"""WITH t AS (SELECT doc_id, lower(text) AS text FROM documents), n AS (SELECT * FROM (VALUES {values(CHARS)}) t(ch, name)), p AS (SELECT * FROM (VALUES {values(PRESENT)}) t(name)),
 c AS (SELECT doc_id, unnest(range(0, length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM t WHERE text <> ''),
 s AS (SELECT doc_id, pos, CASE WHEN n.name IS NULL THEN 'no name: ' || c.ch WHEN p.name IS NULL THEN 'character_has_no_glyph_in_bundled_font: ' || c.ch END AS said FROM c LEFT JOIN n USING (ch) LEFT JOIN p ON p.name = n.name),
 m AS (SELECT doc_id, arg_min(said, pos) AS reason FROM s WHERE said IS NOT NULL GROUP BY doc_id)
 SELECT t.doc_id, reason FROM t LEFT JOIN m USING (doc_id)""")
 def glyph_coverage(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "documents").select("doc_id", F.lower(F.split("text", "\n", -1)[0]).alias("text"))
-    return checks.coverage_refusal(first, "doc_id", inline(spark, "ch, name", CHARS), inline(spark, "name", PRESENT))
+    texts = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return checks.coverage_refusal(texts, "doc_id", inline(spark, "ch, name", CHARS), inline(spark, "name", PRESENT))
 
 
 FAMILIES = [("Brand#1", "Sans", "Regular"), ("Brand#2", "Sans", "Bold"), ("Brand#3", "Serif", "Regular")]
@@ -85,13 +85,14 @@ def span_spaces(spark: SparkSession, d: str) -> DataFrame:
     return checks.spaced(rows, ["doc_id"]).select("doc_id", "run_id", "space")
 
 
-BOXES = [(1, 0.0, 0.0, 612.0, 792.0, 0, 1.0), (2, 0.0, 0.0, 612.0, 792.0, 450, 1.0), (3, 10.0, 10.0, 5.0, 20.0, 0, 1.0), (4, 0.0, 0.0, 100.0, 50.0, 45, 1.0), (5, 0.0, 0.0, 100.0, 50.0, -90, 2.0), (6, 0.0, 0.0, 100.0, 50.0, 0, 0.0)]
+#: Boxes, turns and units: some boxes are empty, some turns no quarters, some units zero.
+BOXES_SQL = "SELECT p_partkey AS id, p_partkey % 7 * 1.0 AS a, p_partkey % 5 * 1.0 AS b, p_size * 1.0 AS c, p_size + 2.5 AS d, CAST((p_partkey % 13 - 4) * 45 AS INTEGER) AS rot, p_partkey % 4 * 0.5 AS unit FROM part"
 
 
-@query(f"""WITH b AS (SELECT * FROM (VALUES {values(BOXES)}) t(id, a, b, c, d, rot, unit)), k AS (SELECT *, (rot % 360 + 360) % 360 AS r, rot % 90 = 0 AND unit > 0 AND c > a AND d > b AS ok FROM b)
-SELECT id, CAST(CASE WHEN ok THEN (CASE WHEN r % 180 = 90 THEN d - b ELSE c - a END) * unit END AS DOUBLE) AS width, CAST(CASE WHEN ok THEN (CASE WHEN r % 180 = 90 THEN c - a ELSE d - b END) * unit END AS DOUBLE) AS height, CAST(CASE WHEN ok THEN r END AS INTEGER) AS rotation FROM k""")
+@query(f"""WITH b AS ({BOXES_SQL}), k AS (SELECT *, (rot % 360 + 360) % 360 AS r, rot % 90 = 0 AND unit > 0 AND c > a AND d > b AS ok FROM b)
+SELECT id, CASE WHEN ok THEN (CASE WHEN r % 180 = 90 THEN d - b ELSE c - a END)::DOUBLE * unit::DOUBLE END AS width, CASE WHEN ok THEN (CASE WHEN r % 180 = 90 THEN c - a ELSE d - b END)::DOUBLE * unit::DOUBLE END AS height, CAST(CASE WHEN ok THEN r END AS INTEGER) AS rotation FROM k""")
 def page_geometry(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, "id, a, b, c, d, rot, unit", BOXES)
+    rows = table(spark, d, "part").selectExpr(*BOXES_SQL.removeprefix("SELECT ").removesuffix(" FROM part").split(", "))
     box = F.array(*[F.col(c).cast("double") for c in "abcd"])
     out = rows.select("id", checks.page_geometry(box, F.col("rot"), F.col("unit").cast("double")).alias("g"))
     return out.select("id", "g.width", "g.height", "g.rotation")

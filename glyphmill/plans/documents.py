@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids, unicode
 from glyphmill.operators import clustering, joins, layout, measures, recipes, search
-from glyphmill.plans.registry import inline, query, values
-from glyphmill.sources.tables import glyphs, hashes, parse_recipes, runs, table, verdict_state
+from glyphmill.plans.registry import query, values
+from glyphmill.sources.tables import glyph_lines, hashes, parse_recipes, runs, table, verdict_state
 
 RUNS_SQL = "SELECT doc_id, lang, unnest(range(0, len(string_split(text, chr(10))))) AS run_order, unnest(string_split(text, chr(10))) AS text FROM documents"
 IDS_SQL = f"""WITH h AS (SELECT doc_id, sha256(text) AS source_hash FROM documents), r AS ({RUNS_SQL}),
@@ -36,9 +36,9 @@ def doc_hash(spark: SparkSession, d: str) -> DataFrame:
 
 MATCHES_SQL = f"""
 WITH r AS ({RUNS_SQL}),
-cut AS (SELECT doc_id, run_order, text, string_split(lower(text), 'the') AS p FROM r),
-m AS (SELECT doc_id, run_order, text, unnest(range(1, len(p))) AS k, p FROM cut),
-s AS (SELECT doc_id, run_order, text, CAST(list_sum(list_transform(list_slice(p, 1, k), lambda x: length(x))) + 3 * (k - 1) AS INTEGER) AS start FROM m)
+c AS (SELECT doc_id, run_order, text, unnest(range(0, length(text))) AS start, unnest(string_split(text, '')) AS c FROM r WHERE text <> ''),
+w AS (SELECT doc_id, run_order, text, start, c || coalesce(lead(c, 1) OVER l, '') || coalesce(lead(c, 2) OVER l, '') AS here FROM c WINDOW l AS (PARTITION BY doc_id, run_order ORDER BY start)),
+s AS (SELECT doc_id, run_order, text, CAST(start AS INTEGER) AS start FROM w WHERE lower(here) = 'the')
 """
 
 
@@ -80,25 +80,41 @@ def run_id_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "run_order", "run_id", run_ids.is_valid(F.col("run_id")).alias("valid"), F.col("p.source_hash").alias("hash"), "p.page", "p.byte_offset")
 
 
+#: Pieces of run ids and whether each is in the grammar: an id is, if all of its pieces are.
 _HASH = "0123456789abcdef" * 4
-RUN_IDS = [
-    (f"{_HASH}:p0:c0:o5", True), (f"{_HASH}:p3:c1/x7/x12/a2:On.1/t4/yA_b:o99:g2-5", True), (f"{_HASH}:p0:c0:o5:g1-2", True), (f"{_HASH}:p0:c0/y-+:o0", True),
-    (f"{_HASH}:p0:c0:o", False), (f"{_HASH[1:]}:p0:c0:o5", False), (f"{_HASH.upper()}:p0:c0:o5", False), (f"{_HASH}:p0:c0/t1/x2:o5", False), (f"{_HASH}:p0:c0:o5:g1", False),
-    (f"{_HASH}:p-1:c0:o5", False), (f"x{_HASH}:p0:c0:o5", False), ("", False), (f"{_HASH}:p0:c0/a1:o5", False), (f" {_HASH}:p0:c0:o5", False),
+ID_PIECES = [
+    (0, _HASH, True), (0, _HASH[1:], False), (0, _HASH.upper(), False), (0, "x" + _HASH, False), (0, "", False),
+    (1, ":p0", True), (1, ":p31", True), (1, ":p-1", False), (1, ":p", False),
+    (2, ":c0", True), (2, ":c1/x7/x12", True), (2, ":c", False), (2, ":c0/t1/x2", False),
+    (3, "", True), (3, "/a2:On.1", True), (3, "/a1", False),
+    (4, "", True), (4, "/t4", True), (4, "/t", False),
+    (5, "", True), (5, "/yA_b", True), (5, "/y-+", True), (5, "/y*", False),
+    (6, ":o99", True), (6, ":o", False),
+    (7, "", True), (7, ":g2-5", True), (7, ":g1", False), (7, " ", False),
 ]
+_N_PIECES = [sum(p[0] == k for p in ID_PIECES) for k in range(8)]
+#: Which piece each event's id has at each place; the first, a good one, in most.
+_PIECE_OF = "CASE WHEN (event_id * (2 * k + 3) + event_id // 7) % 3 < 2 THEN 0 ELSE (event_id * (k + 2) + event_id // 11) % n END"
 
 
-@query(f"SELECT run_id, expected AS valid FROM (VALUES {values(RUN_IDS)}) t(run_id, expected)")
+@query(f"""WITH p AS (SELECT k, piece, ok, row_number() OVER (PARTITION BY k ORDER BY nth) - 1 AS i FROM (VALUES {values([(nth, *p) for nth, p in enumerate(ID_PIECES)])}) t(nth, k, piece, ok)), n AS (SELECT k, count(*) AS n FROM p GROUP BY k),
+e AS (SELECT event_id, k, {_PIECE_OF} AS i FROM events, n)
+SELECT event_id, string_agg(piece, '' ORDER BY k) AS run_id, bool_and(ok) AS valid FROM e JOIN p USING (k, i) GROUP BY event_id""")
 def run_id_grammar(spark: SparkSession, d: str) -> DataFrame:
-    return inline(spark, "run_id, expected", RUN_IDS).select("run_id", run_ids.is_valid(F.col("run_id")).alias("valid"))
+    def piece(k: int) -> F.Column:
+        at = F.expr(_PIECE_OF.replace("//", "div").replace("k", str(k)).replace(" n ", f" {_N_PIECES[k]} "))
+        return F.get(F.array(*[F.lit(p) for place, p, _ in ID_PIECES if place == k]), at.cast("int"))
+
+    rows = table(spark, d, "events").select("event_id", F.concat(*[piece(k) for k in range(8)]).alias("run_id"))
+    return rows.select("event_id", "run_id", run_ids.is_valid(F.col("run_id")).alias("valid"))
 
 
 #: Operations derived from runs: some ids are spoilt, some are another document's, some are of no run.
 _OPS = """CASE WHEN run_order % 11 = 3 THEN 'x' || run_id WHEN run_order % 11 = 5 THEN repeat('0', 64) || substr(run_id, 65)
   WHEN run_order % 11 = 7 THEN run_id || ':g0-1' ELSE run_id END"""
 PLAN_SQL = IDS_SQL + f""",
-ops AS (SELECT doc_id AS source, CAST(run_order AS INTEGER) AS op, {_OPS} AS run_id, upper(text) AS new_text FROM ids WHERE doc_id % 5 <> 4
-  UNION ALL SELECT doc_id, 9999, run_id, '' FROM ids WHERE doc_id % 17 = 0 AND run_order = 0 AND doc_id % 5 <> 4),
+ops AS (SELECT doc_id AS source, CAST(run_order AS INTEGER) AS op, {_OPS} AS run_id, upper(text) AS new_text FROM ids
+  UNION ALL SELECT doc_id, 9999, run_id, '' FROM ids WHERE doc_id % 17 = 0 AND run_order = 0),
 most AS (SELECT source, max(n) AS most FROM (SELECT source, run_id, count(*) AS n FROM ops GROUP BY ALL) GROUP BY source),
 plan AS (SELECT o.source, o.op, o.run_id, CASE WHEN most > 1 THEN 'duplicate_run_id_in_recipe'
     WHEN NOT regexp_full_match(o.run_id, '[0-9a-f]{{64}}:p[0-9]+:c[0-9]+:o[0-9]+(:g[0-9]+-[0-9]+)?') THEN 'malformed_run_id'
@@ -110,8 +126,8 @@ plan AS (SELECT o.source, o.op, o.run_id, CASE WHEN most > 1 THEN 'duplicate_run
 
 def _planned(spark: SparkSession, d: str) -> DataFrame:
     ids = addressed_runs(spark, d)
-    ops = ids.where("doc_id % 5 <> 4").select(F.col("doc_id").alias("source"), F.col("run_order").alias("op"), F.expr(_OPS).alias("run_id"), F.upper("text").alias("new_text"))
-    again = ids.where("doc_id % 17 = 0 AND run_order = 0 AND doc_id % 5 <> 4").select("doc_id", F.lit(9999), "run_id", F.lit(""))
+    ops = ids.select(F.col("doc_id").alias("source"), F.col("run_order").alias("op"), F.expr(_OPS).alias("run_id"), F.upper("text").alias("new_text"))
+    again = ids.where("doc_id % 17 = 0 AND run_order = 0").select("doc_id", F.lit(9999), "run_id", F.lit(""))
     known = ids.groupBy("run_id").agg(F.min("state").alias("state"), F.lit("Type3").alias("verdict_reason"))
     return recipes.plan(ops.union(again), known, hashes(table(spark, d, "documents")).withColumnRenamed("doc_id", "source"))
 
@@ -135,26 +151,22 @@ def refusal_census(spark: SparkSession, d: str) -> DataFrame:
 good AS (SELECT source FROM wanted GROUP BY source HAVING bool_and(ok))
 SELECT w.source, CAST(w.run_order AS INTEGER) AS run_order, CASE WHEN g.source IS NULL THEN text ELSE new_text END AS text FROM wanted w LEFT JOIN good g USING (source)""")
 def recipe_apply(spark: SparkSession, d: str) -> DataFrame:
-    ids = addressed_runs(spark, d).withColumnRenamed("doc_id", "source")
-    key = F.concat_ws("#", F.col("source").cast("string"), F.col("run_order").cast("string"))  # copies of a document share run ids
-    rows = ids.withColumn("run_id", key)
+    rows = addressed_runs(spark, d).withColumnRenamed("doc_id", "source")  # copies of a document share run ids
     plan = rows.select("source", "run_id", F.replace("text", F.lit("e"), F.lit("E")).alias("new_text"), F.expr("state <> 'not_editable' AND (source + run_order) % 9 <> 0").alias("ok"))
     return recipes.apply(rows.select("source", "run_id", "run_order", "text"), plan).select("source", "run_order", "text")
 
 
-@query(f"""WITH r AS ({RUNS_SQL}), p AS (SELECT doc_id, run_order, text, string_split(lower(text), 'the') AS p FROM r),
-c AS (SELECT doc_id, run_order, text, list_transform(range(1, len(p) + 1), lambda k: [CAST(coalesce(list_sum(list_transform(list_slice(p, 1, k - 1), lambda x: length(x))), 0) + 3 * (k - 1) AS BIGINT), length(p[k])]) AS cuts FROM p)
-SELECT doc_id, CAST(run_order AS INTEGER) AS run_order, array_to_string(list_transform(cuts, lambda c: substr(text, c[1] + 1, c[2])), 'THE') AS text FROM c""")
+@query(f"SELECT doc_id, CAST(run_order AS INTEGER) AS run_order, regexp_replace(text, '[tT][hH][eE]', 'THE', 'g') AS text FROM ({RUNS_SQL})")
 def replace_all_text(spark: SparkSession, d: str) -> DataFrame:
     return runs(table(spark, d, "documents")).select("doc_id", "run_order", search.replace_all(F.col("text"), "the", "THE").alias("text"))
 
 
-@query("""WITH b AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents),
-c AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, 'the', 'XX') WHEN 1 THEN replace(text, 'the', 'XX') WHEN 2 THEN text ELSE 'XX' || text END AS after,
-  list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = 'the') AS spots FROM b)
-SELECT doc_id, CASE WHEN len(spots) = 0 THEN 'unverifiable' WHEN len(list_filter(spots, lambda i: substr(text, 1, i - 1) || 'XX' || substr(text, i + 3) = after)) > 0 THEN 'replaced' ELSE 'wrong' END AS verdict FROM c""")
+@query("""WITH c AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, 'the', 'XX') WHEN 1 THEN replace(text, 'the', 'XX') WHEN 2 THEN text ELSE 'XX' || text END AS after, string_split(text, 'the') AS p FROM documents),
+k AS (SELECT doc_id, after, p, unnest(range(1, len(p))) AS k FROM c),
+g AS (SELECT DISTINCT doc_id FROM k WHERE array_to_string(list_slice(p, 1, k), 'the') || 'XX' || array_to_string(list_slice(p, k + 1, len(p)), 'the') = after)
+SELECT doc_id, CASE WHEN len(p) = 1 THEN 'unverifiable' WHEN g.doc_id IS NULL THEN 'wrong' ELSE 'replaced' END AS verdict FROM c LEFT JOIN g USING (doc_id)""")
 def edit_text_verdict(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("before"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("before"))
     once = F.expr("if(instr(before, 'the') > 0, concat(left(before, instr(before, 'the') - 1), 'XX', substring(before, instr(before, 'the') + 3)), before)")
     after = F.when(F.col("doc_id") % 4 == 0, once).when(F.col("doc_id") % 4 == 1, F.replace("before", F.lit("the"), F.lit("XX"))).when(F.col("doc_id") % 4 == 2, F.col("before")).otherwise(F.concat(F.lit("XX"), "before"))
     return rows.withColumn("after", after).select("doc_id", search.text_verdict(F.col("before"), F.col("after"), "the", F.lit("XX")).alias("verdict"))
@@ -173,8 +185,9 @@ k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, run_order ORDER BY x, ord) A
 @query(GLYPHS_SQL + """SELECT doc_id, CAST(run_order AS INTEGER) AS run_order, CAST(island AS BIGINT) AS island,
   string_agg(CASE WHEN spaced THEN ' ' ELSE '' END || ch, '' ORDER BY x, ord) AS text, CAST(min(x) AS BIGINT) AS x0, CAST(max(x) + 100 AS BIGINT) AS x1, count(*) AS n_glyphs FROM k GROUP BY doc_id, run_order, island""")
 def glyph_cluster(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["doc_id", "run_order"]
-    return clustering.display(clustering.islands(glyphs(table(spark, d, "documents")), keys), [*keys, "island"])
+    lines = glyph_lines(table(spark, d, "documents"))
+    found = lines.select("doc_id", "run_order", F.posexplode(F.transform(clustering.line_islands(F.col("glyphs")), clustering.line_display)).alias("place", "r"))
+    return found.select("doc_id", "run_order", (F.col("place") + 1).cast("long").alias("island"), "r.text", F.col("r.x0").cast("long").alias("x0"), F.col("r.x1").cast("long").alias("x1"), "r.n_glyphs")
 
 
 @query(GLYPHS_SQL + """, b AS (SELECT *, ch IN ('q', 'z', '|') AS bad FROM k),
@@ -182,9 +195,11 @@ f AS (SELECT *, CASE WHEN bad OR coalesce(lag(bad) OVER l, true) THEN 1 ELSE 0 E
 o AS (SELECT *, sum(nf) OVER (PARTITION BY doc_id, run_order, island ORDER BY x, ord) AS fragment FROM f)
 SELECT doc_id, CAST(run_order AS INTEGER) AS run_order, CAST(island AS BIGINT) AS island, CAST(fragment AS BIGINT) AS fragment, bool_and(bad) AS bad, count(*) AS n_glyphs FROM o GROUP BY ALL""")
 def editability_fragments(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["doc_id", "run_order"]
-    rows = clustering.fragments(clustering.islands(glyphs(table(spark, d, "documents")), keys), keys, F.col("ch").isin("q", "z", "|"))
-    return rows.groupBy(*keys, "island", "fragment").agg(F.bool_and("bad").alias("bad"), F.count("*").alias("n_glyphs"))
+    lines = glyph_lines(table(spark, d, "documents"))
+    cut = F.transform(clustering.line_islands(F.col("glyphs")), lambda i: clustering.line_fragments(i, lambda ch: ch.isin("q", "z", "|")))
+    islands = lines.select("doc_id", "run_order", F.posexplode(cut).alias("island", "fragments"))
+    found = islands.select("doc_id", "run_order", (F.col("island") + 1).cast("long").alias("island"), F.posexplode("fragments").alias("place", "f"))
+    return found.select("doc_id", "run_order", "island", (F.col("place") + 1).cast("long").alias("fragment"), "f.bad", "f.n_glyphs")
 
 
 @query("""WITH s AS (SELECT n_chars AS score, quality AS positive FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest(range(50, 5001, 50)) AS threshold),
@@ -233,18 +248,17 @@ def lexicon_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return measures.lexicon(words("documents", "token"), words("benchmark", "word"))
 
 
-@query(f"""WITH r AS ({RUNS_SQL}), c AS (SELECT doc_id, unnest(string_split(text, '')) AS item FROM r WHERE text <> '' AND run_order = 0 UNION ALL SELECT doc_id, unnest(string_split(replace(text, 'the', ''), '')) FROM r WHERE replace(text, 'the', '') <> '' AND run_order = 0)
-SELECT doc_id, item, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT doc_id, unnest(string_split(text, '')) AS item, 1 AS n FROM r WHERE run_order = 0 AND text <> '' UNION ALL
-  SELECT doc_id, unnest(string_split(replace(text, 'the', 'XY'), '')), -1 FROM r WHERE run_order = 0 AND text <> '' UNION ALL
-  SELECT doc_id, unnest(['+', 'e']), 1 FROM r WHERE run_order = 0) GROUP BY ALL HAVING sum(n) <> 0""")
+@query("""SELECT doc_id, item, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT doc_id, unnest(string_split(text, '')) AS item, 1 AS n FROM documents WHERE text <> '' UNION ALL
+  SELECT doc_id, unnest(string_split(replace(text, 'the', 'XY'), '')), -1 FROM documents WHERE text <> '' UNION ALL
+  SELECT doc_id, unnest(['+', 'e']), 1 FROM documents) GROUP BY ALL HAVING sum(n) <> 0""")
 def char_multiset_delta(spark: SparkSession, d: str) -> DataFrame:
-    first = runs(table(spark, d, "documents")).where("run_order = 0")
+    docs = table(spark, d, "documents")
 
     def chars(text: F.Column) -> DataFrame:
-        return first.select("doc_id", F.explode(F.split(text, "")).alias("item")).where("item <> ''")
+        return docs.select("doc_id", F.explode(F.split(text, "")).alias("item")).where("item <> ''")
 
-    added = first.select("doc_id", F.explode(F.array(F.lit("+"), F.lit("e"))).alias("item"))
+    added = docs.select("doc_id", F.explode(F.array(F.lit("+"), F.lit("e"))).alias("item"))
     return measures.multiset_delta(chars(F.col("text")), chars(F.replace("text", F.lit("the"), F.lit("XY"))), added, ["doc_id"])
 
 
@@ -332,14 +346,31 @@ def right_to_left(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", unicode.is_rtl("text").alias("rtl"))
 
 
-RECIPES = [
-    (1, '[{"run_id":"a","new_text":"b"}]', None), (2, '[]', None), (3, '{"run_id":"a"}', "not_a_json_array"), (4, '[{"run_id":1,"new_text":"b"}]', "wrong_type"),
-    (5, '[{"run_id":"a","new_text":"b","x":1}]', "unknown_key"), (6, '[{"run_id":"a"}]', "missing_key"), (7, '[{"run_id":"a","new_text":"b","style":{"color":[0,2,0]}}]', "style_out_of_range"),
-    (8, '[{"run_id":"a","new_text":"b","style":{"font_family":"Sans","color":[0,0.5,1],"bold":true,"font_size":9.5}}]', None), (9, 'no json', "not_a_json_array"),
-    (10, '[{"run_id":"a","new_text":"b","style":{"weight":1}}]', "unknown_key"), (11, '[{"run_id":"a","new_text":"b","style":{"font_size":0}}]', "style_out_of_range"), (12, None, "not_a_json_array"),
+#: Pieces of a recipe's operation in JSON: its id, its text, what follows them; and the reason against each, in the order of precedence.
+RECIPE_PIECES = [
+    ("id", 0, '"run_id":"a"', None), ("id", 1, '"run_id":1', "wrong_type"), ("id", 2, "", "missing_key"),
+    ("text", 0, ',"new_text":"b"', None), ("text", 1, ',"new_text":null', "wrong_type"), ("text", 2, ',"new_text":true', "wrong_type"),
+    ("more", 0, "", None), ("more", 1, ',"x":1', "unknown_key"), ("more", 2, ',"style":{"color":[0,2,0]}', "style_out_of_range"),
+    ("more", 3, ',"style":{"font_family":"Sans","color":[0,0.5,1],"bold":true,"font_size":9.5}', None), ("more", 4, ',"style":{"weight":1}', "unknown_key"), ("more", 5, ',"style":{"font_size":0}', "style_out_of_range"),
 ]
+_KINDS = {"id": "p_partkey % 7 % 4 % 3", "text": "p_partkey % 11 % 5 % 3", "more": "p_size % 6"}
+
+
+def _recipes_sql() -> str:
+    """Each part's recipe with the first of the reasons against its pieces."""
+    joins = " ".join(f"JOIN (SELECT i, piece, reason FROM x WHERE kind = '{k}') {k}_ ON {k}_.i = {at}" for k, at in _KINDS.items())
+    said = " ".join(f"WHEN '{r}' IN (coalesce(id_.reason, ''), coalesce(text_.reason, ''), coalesce(more_.reason, '')) THEN '{r}'" for r in ("wrong_type", "unknown_key", "missing_key", "style_out_of_range"))
+    return f"""WITH x AS (SELECT * FROM (VALUES {values(RECIPE_PIECES)}) t(kind, i, piece, reason))
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'not_a_json_array' WHEN p_partkey % 13 = 1 THEN NULL {said} END AS reason FROM part {joins}"""
 
 
-@query(f"SELECT id, reason FROM (VALUES {values([(a, c) for a, _, c in RECIPES])}) t(id, reason)")
+@query(_recipes_sql())
 def recipe_json(spark: SparkSession, d: str) -> DataFrame:
-    return parse_recipes(inline(spark, "id, recipe", [(a, b) for a, b, _ in RECIPES])).select("id", "reason")
+    def piece(kind: str) -> F.Column:
+        return F.get(F.array(*[F.lit(p) for k, _, p, _ in RECIPE_PIECES if k == kind]), F.expr(_KINDS[kind]).cast("int"))
+
+    body = F.concat(*map(piece, _KINDS))
+    op = F.concat(F.lit("{"), F.regexp_replace(body, "^,", ""), F.lit("}"))
+    none = F.get(F.array(F.lit("no json"), F.lit('{"run_id":"a"}'), F.lit(None)), (F.col("p_partkey") % 3).cast("int"))
+    recipe = F.when(F.col("p_partkey") % 13 == 0, none).when(F.col("p_partkey") % 13 == 1, "[]").otherwise(F.concat(F.lit("["), op, F.lit("]")))
+    return parse_recipes(table(spark, d, "part").select("p_partkey", recipe.alias("recipe"))).select("p_partkey", "reason")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.operators import editing, layout
-from glyphmill.plans.registry import inline, query, values
+from glyphmill.plans.registry import query
 from glyphmill.sources.tables import runs, table
 
 
@@ -93,13 +93,15 @@ def audit_candidates(spark: SparkSession, d: str) -> DataFrame:
     return runs(docs).where(fit).withColumn("k", rank).where("k <= 3").select("doc_id", "run_order")
 
 
-TREE = [(1, None), (2, 1), (3, 1), (4, 2), (5, None), (6, 5), (7, 8), (8, 7), (9, 4)]
+#: Nodes are parts below that of half their number; some are roots, and two hang below each other.
+TREE_SQL = "SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 1 THEN NULL WHEN p_partkey = 6 THEN 7 WHEN p_partkey = 7 THEN 6 ELSE CAST((p_partkey - p_partkey % 2) / 2 AS BIGINT) END AS parent FROM part"
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT * FROM (VALUES {values(TREE)}) t(id, parent)), r(root, id) AS (SELECT id, id FROM n WHERE parent IS NULL UNION SELECT root, n.id FROM r JOIN n ON n.parent = r.id)
+@query(f"""WITH RECURSIVE n AS ({TREE_SQL}), r(root, id) AS (SELECT id, id FROM n WHERE parent IS NULL UNION SELECT root, n.id FROM r JOIN n ON n.parent = r.id)
 SELECT root, count(*) AS n FROM r GROUP BY root""")
 def outline_count(spark: SparkSession, d: str) -> DataFrame:
-    return editing.tree_counts(inline(spark, "id, parent", TREE))
+    columns = TREE_SQL.removeprefix("SELECT ").removesuffix(" FROM part").split(", ")
+    return editing.tree_counts(table(spark, d, "part").selectExpr(*columns))
 
 
 @query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || '}') AS digest FROM part""")
@@ -116,15 +118,13 @@ def category_union(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", F.array_sort(F.array_union("a", "b")).alias("categories"))
 
 
-BASE, CHANGES = [(65, "A"), (66, "B"), (67, "C")], [(66, "beta"), (68, "D"), (69, "A")]
-
-
-@query(f"""WITH b AS (SELECT * FROM (VALUES {values(BASE)}) t(code, name)), c AS (SELECT * FROM (VALUES {values(CHANGES)}) t(code, name)), m AS (SELECT coalesce(c.code, b.code) AS code, coalesce(c.name, b.name) AS name FROM b FULL JOIN c USING (code))
-SELECT name, min(code) AS code FROM m GROUP BY name""")
+@query("""WITH b AS (SELECT p_size AS font, p_partkey AS code, p_brand AS name FROM part WHERE p_partkey % 4 <> 0), c AS (SELECT p_size AS font, p_partkey AS code, p_type AS name FROM part WHERE p_partkey % 3 = 0),
+m AS (SELECT font, code, coalesce(c.name, b.name) AS name FROM b FULL JOIN c USING (font, code)) SELECT font, name, min(code) AS code FROM m GROUP BY ALL""")
 def encoding_overlay(spark: SparkSession, d: str) -> DataFrame:
-    base, changes = inline(spark, "code, name", BASE), inline(spark, "code, name", CHANGES)
-    merged = base.join(changes.withColumnRenamed("name", "changed"), "code", "full").select("code", F.coalesce("changed", "name").alias("name"))
-    return merged.groupBy("name").agg(F.min("code").alias("code"))  # the lowest code of a name wins on the way back
+    rows = table(spark, d, "part").select(F.col("p_size").alias("font"), F.col("p_partkey").alias("code"), "p_brand", "p_type")
+    base, changes = rows.where("code % 4 <> 0").select("font", "code", F.col("p_brand").alias("name")), rows.where("code % 3 = 0").select("font", "code", F.col("p_type").alias("changed"))
+    merged = base.join(changes, ["font", "code"], "full").select("font", "code", F.coalesce("changed", "name").alias("name"))
+    return merged.groupBy("font", "name").agg(F.min("code").alias("code"))  # the lowest code of a name wins on the way back
 
 
 @query()

@@ -36,23 +36,28 @@ WIDTHS = [(1, 0, 49, 500), (2, 40, 120, 610), (3, 200, 200, 250), (4, 150, 320,
 
 
 @query(f"""WITH r AS (SELECT * FROM (VALUES {values(WIDTHS)}) t(ord, first, last, width)),
-k AS (SELECT DISTINCT l_partkey % 500 AS cid FROM lineitem), f AS (SELECT cid, arg_min(width, ord) AS width FROM k LEFT JOIN r ON cid BETWEEN first AND last GROUP BY cid)
-SELECT l_orderkey, l_linenumber, CAST(coalesce(width, 1000) AS INTEGER) AS width FROM lineitem JOIN f ON f.cid = l_partkey % 500""")
+k AS (SELECT DISTINCT l_suppkey % 7 AS font, l_partkey % 500 AS cid FROM lineitem), f AS (SELECT font, cid, arg_min(width, ord) + font AS width FROM k LEFT JOIN r ON cid BETWEEN first + font AND last + font GROUP BY font, cid)
+SELECT l_orderkey, l_linenumber, CAST(coalesce(width, 1000) AS INTEGER) AS width FROM lineitem JOIN f ON f.cid = l_partkey % 500 AND f.font = l_suppkey % 7""")
 def range_width_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return joins.range_lookup(rows, inline(spark, "ord, first, last, width", WIDTHS), F.col("l_partkey") % 500, 1000).select("l_orderkey", "l_linenumber", "width")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 7).alias("font"))
+    fonts = rows.select("font").distinct().crossJoin(F.broadcast(inline(spark, "ord, first, last, width", WIDTHS)))  # six rows a font
+    ranges = fonts.select("font", "ord", (F.col("first") + F.col("font")).alias("first"), (F.col("last") + F.col("font")).alias("last"), (F.col("width") + F.col("font")).cast("int").alias("width"))
+    return joins.range_lookup(rows, ranges, ["font"], F.col("l_partkey") % 500, 1000).select("l_orderkey", "l_linenumber", "width")
 
 
 CELLS = [(r, c, c * 1000.0, r * 10.0, c * 1000.0 + 1000.0, r * 10.0 + 10.0) for r in range(5) for c in range(12)]
 
 
 @query(f"""WITH c AS (SELECT * FROM (VALUES {values(CELLS)}) t(r, c, cx0, cy0, cx1, cy1)),
-b AS (SELECT l_orderkey * 10 + l_linenumber AS box_id, l_partkey % 9000 AS x0, l_partkey % 9000 + l_suppkey % 50 AS x1, l_quantity AS y0, l_quantity + 1 AS y1 FROM lineitem),
-m AS (SELECT box_id, count(r) AS n, min(r) AS r, min(c) AS c FROM b LEFT JOIN c ON x0 > cx0 + 0.5 AND x1 < cx1 - 0.5 AND y0 > cy0 + 0.5 AND y1 < cy1 - 0.5 GROUP BY box_id)
-SELECT box_id, CASE WHEN n = 1 THEN r END AS row, CASE WHEN n = 1 THEN c END AS col FROM m""")
+b AS (SELECT row_number() OVER () AS rid, l_orderkey % 40 AS page, l_orderkey * 10 + l_linenumber AS box_id, l_partkey % 9000 AS x0, l_partkey % 9000 + l_suppkey % 50 AS x1, l_quantity AS y0, l_quantity + 1 AS y1 FROM lineitem),
+m AS (SELECT rid, page, box_id, count(r) AS n, min(r) AS r, min(c) AS c FROM b LEFT JOIN c ON page % 10 <> 0 AND x0 > cx0 + page + 0.5 AND x1 < cx1 + page - 0.5 AND y0 > cy0 + 0.5 AND y1 < cy1 - 0.5 GROUP BY rid, page, box_id)
+SELECT page, box_id, CASE WHEN n = 1 THEN r END AS row, CASE WHEN n = 1 THEN c END AS col FROM m""")
 def grid_containment(spark: SparkSession, d: str) -> DataFrame:
-    boxes = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), (F.col("l_partkey") % 9000).alias("x0"), (F.col("l_partkey") % 9000 + F.col("l_suppkey") % 50).alias("x1"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 1).alias("y1"))
-    return joins.containment(boxes, inline(spark, "row, col, cx0, cy0, cx1, cy1", CELLS), 0.5)
+    page = (F.col("l_orderkey") % 40).alias("page")
+    boxes = table(spark, d, "lineitem").select(page, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), (F.col("l_partkey") % 9000).alias("x0"), (F.col("l_partkey") % 9000 + F.col("l_suppkey") % 50).alias("x1"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 1).alias("y1"))
+    pages_with_grids = boxes.select("page").distinct().where("page % 10 <> 0").crossJoin(F.broadcast(inline(spark, "row, col, cx0, cy0, cx1, cy1", CELLS)))  # sixty rows a page
+    cells = pages_with_grids.select("page", "row", "col", (F.col("cx0") + F.col("page")).alias("cx0"), "cy0", (F.col("cx1") + F.col("page")).alias("cx1"), "cy1")
+    return joins.containment(boxes, cells, ["page"], 0.5)
 
 
 @query("""WITH b AS (SELECT l_orderkey % 500 AS page_id, (l_partkey % 97) * 8.0 - 50 AS x0, (l_suppkey % 89) * 8.0 - 50 AS y0, l_quantity * 6 AS w, l_linenumber * 20.0 AS h FROM lineitem),
@@ -85,35 +90,38 @@ def shared_operator(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_partkey", "l_shipdate").agg(F.countDistinct("l_orderkey").alias("sharers")).where("sharers > 1")
 
 
-EDGES, ROOTS = [(1, 2), (2, 3), (3, 1), (4, 3), (5, 6), (6, 7), (7, 5), (8, 9), (4, 9), (9, 9), (10, 11)], [(0, 1), (1, 4), (2, 5), (3, 8), (4, 10), (5, 10), (5, 1)]
+#: Objects are parts: most refer to the one of half their number, some back up, some to themselves.
+EDGES_SQL = "SELECT p_partkey AS parent, CASE p_partkey % 10 WHEN 0 THEN p_partkey WHEN 9 THEN p_partkey * 2 ELSE (p_partkey - p_partkey % 2) / 2 END AS child FROM part"
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {values(EDGES)}) t(p, c)), r(page, obj) AS (SELECT * FROM (VALUES {values(ROOTS)}) t(a, b) UNION SELECT page, c FROM r JOIN e ON p = obj)
+@query(f"""WITH RECURSIVE e AS (SELECT parent, CAST(child AS BIGINT) AS child FROM ({EDGES_SQL})), r(page, obj) AS (SELECT s_suppkey % 50, CAST(s_suppkey * 3 AS BIGINT) FROM supplier UNION SELECT page, child FROM r JOIN e ON parent = obj)
 SELECT obj AS object, count(DISTINCT page) AS n_pages FROM r GROUP BY obj HAVING count(DISTINCT page) > 1""")
 def shared_object_census(spark: SparkSession, d: str) -> DataFrame:
-    return joins.shared_objects(inline(spark, "parent, child", EDGES), inline(spark, "page, object", ROOTS))
-
-
-FONTS = [
-    (1, "/Type0", False, True, False, False, False, "ok", 1, "/CIDFontType0", False, None, "C-3b", True), (2, "/Type0", False, True, False, False, False, "ok", 1, "/CIDFontType2", True, None, "C-3a", True),
-    (3, "/Type0", False, True, False, False, False, "ok", 1, "/CIDFontType2", False, "bad map", "C-3a", False), (4, "/Type0", False, True, False, False, False, "ok", 2, "/CIDFontType0", False, None, "C-6", False),
-    (5, "/Type0", False, True, False, False, False, "ok", None, "/CIDFontType0", False, None, "C-1", False), (6, "/Type0", False, True, False, False, False, "ok", 1, None, False, None, "NODESC", False),
-    (7, "/Type0", False, False, False, False, False, "ok", 1, "/CIDFontType0", False, None, "NOEMB", False), (8, "/Type0", False, True, False, False, False, "ok", 1, "/Other", False, None, "C-3", False),
-    (9, "/Type3", False, False, True, True, False, "ok", None, None, False, None, "T3-a", True), (10, "/Type3", True, False, True, False, False, "ok", None, None, False, None, "T3-a", False),
-    (11, "/TrueType", False, False, False, False, False, "ok", None, None, False, None, "TT-a", True), (12, "/TrueType", True, False, True, False, False, "ok", None, None, False, None, "NOEMB", False),
-    (13, "/TrueType", True, True, True, False, False, "ok", None, None, False, None, "TT-c", False), (14, "/TrueType", True, True, False, False, False, "unreadable", None, None, False, None, "TT-f", False),
-    (15, "/TrueType", True, True, False, False, False, "none", None, None, False, None, "TT-e", False), (16, "/TrueType", True, True, False, False, False, "only_31", None, None, False, None, "TT-d", False),
-    (17, "/TrueType", True, True, False, False, False, "ok", None, None, False, None, "TT-b", True), (18, "/Type1", True, False, False, False, True, "ok", None, None, False, None, "NOEMB", False),
-    (19, "/Type1", False, False, False, False, True, "ok", None, None, False, None, "T1-c", True), (20, "/MMType1", False, False, True, False, False, "ok", None, None, False, None, "T1-d", True),
-    (21, "/Type1", True, True, True, False, False, "ok", None, None, False, None, "T1-b", True), (22, "/Type1", True, True, False, False, False, "ok", None, None, False, None, "T1-a", True),
-    (23, "/Odd", False, True, True, False, False, "ok", None, None, False, None, "UNKNOWN", False),
-]
-
-
-@query(f"SELECT id, branch AS branch_id, editable FROM (VALUES {values([(r[0], r[12], r[13]) for r in FONTS])}) t(id, branch, editable)")
+    edges = table(spark, d, "part").selectExpr("p_partkey AS parent", EDGES_SQL.partition("parent, ")[2].partition(" AS child")[0] + " AS child").select("parent", F.col("child").cast("long").alias("child"))
+    return joins.shared_objects(edges, table(spark, d, "supplier").selectExpr("s_suppkey % 50 AS page", "s_suppkey * 3 AS object"))
+
+
+#: Fonts of all kinds: each order line's numbers choose a subtype, what is embedded, its encoding, cmap and descendant.
+FONTS_SQL = {
+    "subtype": "CASE l_partkey % 7 WHEN 0 THEN '/Type0' WHEN 1 THEN '/Type0' WHEN 2 THEN '/Type3' WHEN 3 THEN '/TrueType' WHEN 4 THEN '/Type1' WHEN 5 THEN '/MMType1' ELSE '/Odd' END",
+    "symbolic": "l_suppkey % 2 = 0", "embedded": "l_linenumber % 3 <> 0", "has_encoding": "l_quantity % 4 = 1", "has_charproc": "l_partkey % 3 = 0", "standard_14": "l_suppkey % 5 < 2",
+    "cmap": "CASE l_orderkey % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'none' WHEN 2 THEN 'only_31' ELSE 'ok' END",
+    "n_codespace": "CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 1 END",
+    "descendant": "CASE l_suppkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '/Other' WHEN 2 THEN '/CIDFontType0' ELSE '/CIDFontType2' END",
+    "gid_map_ok": "l_quantity % 3 <> 0", "gid_map_reason": "CASE WHEN l_quantity % 3 = 0 THEN 'bad map' END",
+}
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, l_linenumber, {", ".join(f"{e} AS {n}" for n, e in FONTS_SQL.items())} FROM lineitem),
+k AS (SELECT *, subtype IN ('/Type1', '/MMType1') AS t1, subtype = '/TrueType' AS tt, subtype = '/Type0' AS t0 FROM f),
+v AS (SELECT *, CASE WHEN t0 AND descendant IS NULL THEN 'NODESC' WHEN t0 AND n_codespace IS NULL THEN 'C-1' WHEN t0 AND n_codespace <> 1 THEN 'C-6' WHEN t0 AND NOT embedded THEN 'NOEMB'
+  WHEN t0 AND descendant = '/CIDFontType0' THEN 'C-3b' WHEN t0 AND descendant = '/CIDFontType2' THEN 'C-3a' WHEN t0 THEN 'C-3' WHEN subtype = '/Type3' THEN 'T3-a' WHEN NOT (t1 OR tt) THEN 'UNKNOWN'
+  WHEN tt AND NOT symbolic THEN 'TT-a' WHEN symbolic AND NOT embedded THEN 'NOEMB' WHEN tt AND has_encoding THEN 'TT-c' WHEN tt THEN CASE cmap WHEN 'unreadable' THEN 'TT-f' WHEN 'none' THEN 'TT-e' WHEN 'only_31' THEN 'TT-d' ELSE 'TT-b' END
+  WHEN NOT embedded THEN CASE WHEN standard_14 THEN 'T1-c' ELSE 'T1-d' END WHEN symbolic AND has_encoding THEN 'T1-b' ELSE 'T1-a' END AS branch_id FROM k)
+SELECT l_orderkey, l_linenumber, branch_id, CASE branch_id WHEN 'C-3a' THEN gid_map_ok WHEN 'T3-a' THEN has_charproc ELSE branch_id IN ('C-3b', 'TT-a', 'TT-b', 'T1-a', 'T1-b', 'T1-c', 'T1-d') END AS editable FROM v""")
 def font_verdict_branches(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, "id, subtype, symbolic, embedded, has_encoding, has_charproc, standard_14, cmap, n_codespace, descendant, gid_map_ok, gid_map_reason", [r[:12] for r in FONTS])
-    return rows.select("id", verdicts.font().alias("v")).select("id", "v.branch_id", "v.editable")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in FONTS_SQL.items()])
+    return rows.select("l_orderkey", "l_linenumber", verdicts.font().alias("v")).select("l_orderkey", "l_linenumber", "v.branch_id", "v.editable")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 13 = 0 THEN l_suppkey % 5 + 2 END AS shared, CASE l_partkey % 7 WHEN 0 THEN 'T3-a' ELSE 'T1-a' END AS branch, l_partkey % 5 <> 0 AS editable,
@@ -154,33 +162,76 @@ def export_transcript_md(spark: SparkSession, d: str) -> DataFrame:
     return layout.joined(transcript(table(spark, d, "conversations")), ["conv_id"], ["turn", "role", "text"], part, "\n")
 
 
-TURNS_SQL = "SELECT conv_id, CAST(turn // 3 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn, role, text) AS INTEGER) AS ord, CASE WHEN turn % 4 = 0 THEN 'heading' WHEN role = 'user' THEN 'list' ELSE 'paragraph' END AS kind, 2 AS level, text FROM conversations WHERE text IS NOT NULL"
+#: Turns as blocks of two spans, the first word and the rest; list items get a marker; some turns are tables of two rows of two cells.
+TURNS_SQL = """SELECT conv_id, page, ord, kind, level, bold, italic, s1, substr(text, length(s1) + 1) AS s2, text,
+  [[coalesce(w[1], ''), coalesce(w[2], '')], [coalesce(w[3], '') || chr(10) || coalesce(w[4], ''), array_to_string(w[5:], '|')]] AS grid
+FROM (SELECT *, string_split(text, ' ') AS w, string_split(text, ' ')[1] AS s1 FROM (
+  SELECT conv_id, CAST(turn // 3 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn, role, text) AS INTEGER) AS ord,
+    CASE WHEN turn % 7 = 5 THEN 'table' WHEN turn % 4 = 0 THEN 'heading' WHEN role = 'user' THEN 'list' ELSE 'paragraph' END AS kind, CAST(turn % 8 AS INTEGER) AS level,
+    turn % 2 = 1 AS bold, turn % 3 = 2 AS italic, CASE WHEN turn % 7 <> 5 AND turn % 4 <> 0 AND role = 'user' THEN '12.  ' ELSE '' END || text AS text FROM conversations WHERE text IS NOT NULL))"""
 
 
 def _turn_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = transcript(table(spark, d, "conversations")).withColumn("page", F.floor(F.col("turn") / 3).cast("int"))
-    kind = F.when(F.col("turn") % 4 == 0, "heading").when(F.col("role") == "user", "list").otherwise("paragraph")
-    return rows.select("conv_id", "page", F.row_number().over(W.partitionBy("conv_id", "page").orderBy("turn", "role", "text")).alias("ord"), kind.alias("kind"), F.lit(2).alias("level"), "text")
+    kind = F.when(F.col("turn") % 7 == 5, "table").when(F.col("turn") % 4 == 0, "heading").when(F.col("role") == "user", "list").otherwise("paragraph")
+    ord_ = F.row_number().over(W.partitionBy("conv_id", "page").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("kind", kind).withColumn("ord", ord_).withColumn("text", F.concat(F.when(F.col("kind") == "list", "12.  ").otherwise(""), "text")).withColumn("w", F.split("text", " ", -1))
 
+    def span(text: F.Column, bold: F.Column | None = None, italic: F.Column | None = None) -> F.Column:
+        no = F.lit(False)
+        return F.struct(text.alias("text"), (no if bold is None else bold).alias("bold"), (no if italic is None else italic).alias("italic"))
 
-@query(f"""WITH b AS ({TURNS_SQL}), p AS (SELECT conv_id, page, string_agg(text || chr(10), '' ORDER BY ord) AS t FROM b GROUP BY ALL) SELECT conv_id, string_agg(t, chr(12) || chr(10) ORDER BY page) AS body FROM p GROUP BY conv_id""")
+    w = [F.coalesce(F.get("w", F.lit(i)), F.lit("")) for i in range(4)]
+    cells = [[w[0], w[1]], [F.concat(w[2], F.lit("\n"), w[3]), F.array_join(F.slice("w", 5, F.size("w")), "|")]]
+    grid = F.array(*[F.array(*[F.array(span(c)) for c in r]) for r in cells])
+    first = F.get("w", F.lit(0))
+    spans = F.array(span(first, bold=F.col("turn") % 2 == 1), span(F.col("text").substr(F.length(first) + 1, F.length("text")), italic=F.col("turn") % 3 == 2))
+    return rows.select("conv_id", "page", "ord", "kind", (F.col("turn") % 8).cast("int").alias("level"), "text", spans.alias("spans"), F.when(F.col("kind") == "table", grid).alias("rows"))
+
+
+def _md(x: str) -> str:
+    return ESCAPED_SQL.replace("replace(text,", f"replace({x},")
+
+
+_MD_CELLS = f"list_transform(grid, lambda r: '| ' || array_to_string(list_transform(r, lambda c: replace({_md('c')}, chr(10), '<br>')), ' | ') || ' |' || chr(10))"
+_MD_SPANS = f"CASE WHEN kind = 'list' THEN '' WHEN bold THEN '**' || {_md('s1')} || '**' ELSE {_md('s1')} END || CASE WHEN italic THEN '*' || {_md('z')} || '*' ELSE {_md('z')} END"
+_HTML = "replace(replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>')"
+_HTML_SPANS = f"CASE WHEN kind = 'list' THEN '' WHEN bold THEN '<strong>' || {_HTML.format('s1')} || '</strong>' ELSE {_HTML.format('s1')} END || CASE WHEN italic THEN '<em>' || {_HTML.format('z')} || '</em>' ELSE {_HTML.format('z')} END"
+#: z: the second span, without what is left of a list marker.
+_BODIES = f"b AS (SELECT *, CASE WHEN kind = 'list' THEN regexp_replace(s2, '^\\s+', '') ELSE s2 END AS z FROM ({TURNS_SQL}))"
+
+
+@query(f"""WITH b AS ({TURNS_SQL}), t AS (SELECT conv_id, page, ord, CASE WHEN kind = 'table' THEN array_to_string(list_transform(grid, lambda r: array_to_string(r, chr(9)) || chr(10)), '') ELSE text || chr(10) END AS t FROM b),
+p AS (SELECT conv_id, page, string_agg(t, '' ORDER BY ord) AS t FROM t GROUP BY ALL) SELECT conv_id, string_agg(t, chr(12) || chr(10) ORDER BY page) AS body FROM p GROUP BY conv_id""")
 def export_text(spark: SparkSession, d: str) -> DataFrame:
     return layout.text_document(_turn_blocks(spark, d), "conv_id")
 
 
-@query(f"""WITH b AS ({TURNS_SQL}), m AS (SELECT conv_id, page, ord, CASE kind WHEN 'heading' THEN '## ' WHEN 'list' THEN '- ' ELSE '' END || {ESCAPED_SQL} || chr(10) || chr(10) AS t FROM (SELECT * REPLACE (CASE WHEN kind = 'list' THEN regexp_replace(text, '^(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END AS text) FROM b)),
-p AS (SELECT conv_id, page, string_agg(t, '' ORDER BY ord) AS t FROM m GROUP BY ALL) SELECT conv_id, string_agg(t, '---' || chr(10) || chr(10) ORDER BY page) AS body FROM p GROUP BY conv_id""")
+@query(f"""WITH {_BODIES}, m AS (SELECT conv_id, page, ord, CASE kind WHEN 'table' THEN {_MD_CELLS}[1] || '| --- | --- |' || chr(10) || {_MD_CELLS}[2] || chr(10)
+  ELSE CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' WHEN 'list' THEN '- ' ELSE '' END || {_MD_SPANS} || chr(10) || chr(10) END AS t FROM b),
+p AS (SELECT conv_id, page, string_agg(t, '' ORDER BY ord) AS t FROM m GROUP BY ALL) SELECT conv_id, string_agg(t, chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS body FROM p GROUP BY conv_id""")
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return layout.markdown_document(_turn_blocks(spark, d), "conv_id")
 
 
-@query(f"""WITH b AS ({TURNS_SQL}), e AS (SELECT *, kind = 'list' AND coalesce(lag(kind) OVER w <> 'list', true) AS o, kind = 'list' AND coalesce(lead(kind) OVER w <> 'list', true) AS c,
-  replace(replace(replace(CASE WHEN kind = 'list' THEN regexp_replace(text, '^(?:[-*•]|[0-9]+[.)])\\s+', '') ELSE text END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, CASE kind WHEN 'heading' THEN 'h2' WHEN 'list' THEN 'li' ELSE 'p' END AS tag FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY page, ord))
-SELECT conv_id, string_agg(CASE WHEN o THEN '<ul>' ELSE '' END || '<' || tag || '>' || x || '</' || tag || '>' || CASE WHEN c THEN '</ul>' ELSE '' END || chr(10), '' ORDER BY page, ord) AS body FROM e GROUP BY conv_id""")
+EXPORT_HTML_SQL = f"""WITH {_BODIES}, e AS (SELECT *, kind = 'list' AND coalesce(lag(kind) OVER w <> 'list', true) AS o, kind = 'list' AND coalesce(lead(kind) OVER w <> 'list', true) AS c,
+  CASE kind WHEN 'heading' THEN 'h' || least(6, greatest(1, level)) WHEN 'list' THEN 'li' ELSE 'p' END AS tag FROM b WINDOW w AS (PARTITION BY conv_id, page ORDER BY ord)),
+t AS (SELECT conv_id, page, ord, CASE WHEN kind = 'table' THEN '<table><tbody>' || chr(10) || array_to_string(list_transform(grid, lambda r: '<tr>' || array_to_string(list_transform(r, lambda c: '<td>' || {_HTML.format('c')} || '</td>'), '') || '</tr>' || chr(10)), '') || '</tbody></table>' || chr(10)
+  ELSE CASE WHEN o THEN '<ul>' || chr(10) ELSE '' END || '<' || tag || '>' || {_HTML_SPANS} || '</' || tag || '>' || chr(10) || CASE WHEN c THEN '</ul>' || chr(10) ELSE '' END END AS t FROM e),
+p AS (SELECT conv_id, page, '<section>' || chr(10) || string_agg(t, '' ORDER BY ord) || '</section>' || chr(10) AS t FROM t GROUP BY ALL)
+SELECT conv_id, '<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Document export</title></head><body>' || chr(10) || string_agg(t, '' ORDER BY page) || '</body></html>' || chr(10) AS body FROM p GROUP BY conv_id"""
+
+
+@query(EXPORT_HTML_SQL)
 def export_html(spark: SparkSession, d: str) -> DataFrame:
     return layout.html_document(_turn_blocks(spark, d), "conv_id")
 
 
+@query(f"SELECT h.conv_id, h.body, coalesce(t.has_text, false) AS has_text FROM ({EXPORT_HTML_SQL}) h LEFT JOIN (SELECT conv_id, bool_or(trim(CASE WHEN kind = 'table' THEN array_to_string(flatten(grid), '') ELSE text END) <> '') AS has_text FROM ({TURNS_SQL}) GROUP BY 1) t USING (conv_id)")
+def export_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return layout.export(_turn_blocks(spark, d), "conv_id", "html")
+
+
 @query(r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, unnest(range(0, len(k))) AS ord, unnest(k) AS kind, unnest(t) AS text FROM (SELECT page_id, regexp_extract_all(h, '(?is)<(title|h[1-6]|li|p)\b[^>]*>([^<]*)', 1) AS k, regexp_extract_all(h, '(?is)<(title|h[1-6]|li|p)\b[^>]*>([^<]*)', 2) AS t FROM c))
 SELECT page_id, CAST(ord AS INTEGER) AS ord, lower(kind) AS kind, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM b WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""")
@@ -219,16 +270,19 @@ def page_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(n("view").alias("views"), n("click").alias("clicks"), n("purchase").alias("purchases"), F.count("*").alias("n"))
 
 
-SPECS = [(1, "1-3;5"), (2, "2"), (3, "4-4; 1-2"), (4, "1,3-4;2")]
+SPECS_SQL = "SELECT p_partkey AS id, p_partkey % 5 + 1 || '-' || (p_partkey % 5 + p_size % 4 + 1) || CASE WHEN p_partkey % 3 = 0 THEN ', ' || (p_size % 6 + 3) ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '; ' || (p_size % 9 + 1) ELSE '' END AS spec FROM part"
 
 
-@query(f"""WITH s AS (SELECT * FROM (VALUES {values(SPECS)}) t(id, spec)), g AS (SELECT id, unnest(range(0, len(string_split(spec, ';')))) AS grp, unnest(string_split(spec, ';')) AS part FROM s),
+@query(f"""WITH s AS ({SPECS_SQL}), g AS (SELECT id, unnest(range(0, len(string_split(spec, ';')))) AS grp, unnest(string_split(spec, ';')) AS part FROM s),
 p AS (SELECT id, grp, unnest(range(0, len(string_split(part, ',')))) AS k, unnest(string_split(part, ',')) AS x FROM g),
-e AS (SELECT id, grp, k, CAST(trim(string_split(trim(x), '-')[1]) AS INTEGER) AS a, CAST(trim(string_split(trim(x), '-')[-1]) AS INTEGER) AS b FROM p)
-SELECT id, CAST(grp AS INTEGER) AS grp, CAST(row_number() OVER (PARTITION BY id, grp ORDER BY k, page) - 1 AS INTEGER) AS place, CAST(page AS INTEGER) AS page FROM (SELECT id, grp, k, unnest(range(a - 1, b)) AS page FROM e)""")
+e AS (SELECT id, grp, k, CAST(trim(string_split(trim(x), '-')[1]) AS INTEGER) AS a, CAST(trim(string_split(trim(x), '-')[-1]) AS INTEGER) AS b FROM p),
+o AS (SELECT id, grp, row_number() OVER (PARTITION BY id, grp ORDER BY k, page) - 1 AS place, page FROM (SELECT id, grp, k, unnest(range(a - 1, b)) AS page FROM e)),
+i AS (SELECT id, bool_and(coalesce(page > was, true)) AS increasing FROM (SELECT id, page, lag(page) OVER (PARTITION BY id ORDER BY grp, place) AS was FROM o) GROUP BY id)
+SELECT id, CAST(grp AS INTEGER) AS grp, CAST(place AS INTEGER) AS place, CAST(page AS INTEGER) AS page, increasing FROM o JOIN i USING (id)""")
 def page_split_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, "id, spec", SPECS).select("id", F.posexplode(pages.page_groups(F.col("spec"))).alias("grp", "pages"))
-    return rows.select("id", "grp", F.posexplode("pages").alias("place", "page"))
+    specs = table(spark, d, "part").selectExpr("p_partkey AS id", SPECS_SQL.partition("AS id, ")[2].partition(" FROM")[0])
+    rows = specs.withColumn("groups", pages.page_groups(F.col("spec"))).withColumn("increasing", pages.increasing(F.col("groups")))
+    return rows.select("id", "increasing", F.posexplode("groups").alias("grp", "pages")).select("id", "grp", F.posexplode("pages").alias("place", "page"), "increasing")
 
 
 PAGES_SQL = "SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS page, o_orderkey FROM orders"
@@ -264,12 +318,15 @@ def page_chunks_rotated(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc", "grp", "place", pages.rotate(F.col("page") * 90, F.col("doc") % 5 - 2).alias("rotation"))
 
 
-@query("""WITH a AS (SELECT c_custkey AS page, c_name AS name FROM customer WHERE c_custkey < 50), b AS (SELECT s_suppkey AS page, s_name AS name FROM supplier WHERE s_suppkey < 20)
-SELECT CAST(row_number() OVER (ORDER BY k, page) - 1 AS INTEGER) AS page, name FROM (SELECT page, name, CASE WHEN page < 10 THEN 0 ELSE 2 END AS k FROM a UNION ALL SELECT page, name, 1 FROM b)""")
+@query("""WITH a AS (SELECT c_nationkey AS doc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page, c_name AS name FROM customer),
+b AS (SELECT s_nationkey AS doc, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS page, s_name AS name FROM supplier)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY k, page) - 1 AS INTEGER) AS page, name FROM (SELECT doc, page, name, CASE WHEN page < 10 THEN 0 ELSE 2 END AS k FROM a UNION ALL SELECT doc, page, name, 1 FROM b)""")
 def page_merge(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("page"), F.col("c_name").alias("name"))
-    second = table(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("page"), F.col("s_name").alias("name"))
-    return pages.merge(first, second, 10)
+    def sequence(name: str, p: str) -> DataFrame:
+        page = F.row_number().over(W.partitionBy(f"{p}_nationkey").orderBy(f"{p}_{name[:4]}key")) - 1
+        return table(spark, d, name).select(F.col(f"{p}_nationkey").alias("doc"), page.alias("page"), F.col(f"{p}_name").alias("name"))
+
+    return pages.merge(sequence("customer", "c"), sequence("supplier", "s"), ["doc"], 10)
 
 
 @query("SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id")
@@ -285,17 +342,21 @@ def history_admission(spark: SparkSession, d: str) -> DataFrame:
     return pages.admitted(rows, ["user_id"], 5, 100).select("user_id", "version", "kept")
 
 
-OLD_OPS, NEW_OPS = [(0, "a", "x"), (1, "b", "y"), (2, "c", "z")], [(0, "b", "Y"), (1, "d", "w"), (2, "e", "v")]
-
-
-@query("SELECT * FROM (VALUES (0, 'a', 'x'), (1, 'b', 'Y'), (2, 'c', 'z'), (3, 'd', 'w'), (4, 'e', 'v')) t(pos, run_id, new_text)")
+@query("""WITH o AS (SELECT o_custkey AS source, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS n, 'r' || o_orderkey AS run_id, o_orderkey % 3 AS part, o_orderstatus AS old, o_orderpriority AS new FROM orders),
+a AS (SELECT source, n AS pos, run_id, old AS new_text FROM o WHERE part <> 2), b AS (SELECT source, n AS pos, run_id, new AS new_text FROM o WHERE part <> 0),
+f AS (SELECT source, run_id, new_text, row_number() OVER (PARTITION BY source ORDER BY pos) + coalesce((SELECT max(pos) FROM a WHERE a.source = b.source), -1) AS pos FROM b WHERE (source, run_id) NOT IN (SELECT source, run_id FROM a))
+SELECT source, pos, run_id, coalesce(b.new_text, a.new_text) AS new_text FROM a LEFT JOIN (SELECT source, run_id, new_text FROM b) b USING (source, run_id) UNION ALL SELECT source, CAST(pos AS INTEGER), run_id, new_text FROM f""")
 def recipe_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return recipes.upsert(inline(spark, "pos, run_id, new_text", OLD_OPS), inline(spark, "pos, run_id, new_text", NEW_OPS))
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), n.alias("pos"), F.concat(F.lit("r"), F.col("o_orderkey")).alias("run_id"), (F.col("o_orderkey") % 3).alias("part"), "o_orderstatus", "o_orderpriority")
+    old = rows.where("part <> 2").select("source", "pos", "run_id", F.col("o_orderstatus").alias("new_text"))
+    return recipes.upsert(old, rows.where("part <> 0").select("source", "pos", "run_id", F.col("o_orderpriority").alias("new_text")))
 
 
-@query("SELECT run_id FROM (VALUES ('a'), ('c')) t(run_id)")
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS run_id, CASE WHEN p_partkey % 11 = 0 THEN -1 WHEN p_partkey > 8 THEN p_partkey // 2 END AS needs FROM part), gone(run_id) AS (
+  SELECT run_id FROM c WHERE needs = -1 UNION SELECT c.run_id FROM c JOIN gone ON c.needs = gone.run_id) SELECT run_id FROM c WHERE run_id NOT IN (SELECT run_id FROM gone)""")
 def preview_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, "run_id, needs", [("a", None), ("b", "x"), ("c", "a"), ("d", "b"), ("e", "d")])
+    rows = table(spark, d, "part").selectExpr("p_partkey AS run_id", "CASE WHEN p_partkey % 11 = 0 THEN -1 WHEN p_partkey > 8 THEN p_partkey div 2 END AS needs")
 
     def resolve(left: DataFrame) -> DataFrame:
         known = left.select(F.col("run_id").alias("needs"), F.lit(True).alias("there"))

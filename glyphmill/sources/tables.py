@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from glyphmill.functions.arrays import let, starts
 from glyphmill.session import prepare
 
 
@@ -47,6 +48,21 @@ def glyphs(docs: DataFrame) -> DataFrame:
     return placed.where("ch <> ' '").select("doc_id", "run_order", F.col("pos").alias("ord"), "ch", "x", (F.col("run_order") * 200).alias("y"), F.lit(120).alias("em"), F.lit(100).alias("advance"))
 
 
+def glyph_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, run_order, glyphs): what glyphs() lays out, a row for each line and its glyphs in one array."""
+
+    def laid(chars: Column) -> Column:
+        wide = F.transform(chars, lambda c, i: F.when(c != " ", 100).when((i > 0) & (F.get(chars, i - 1) == "."), 48).otherwise(24))
+
+        def placed(ends: Column) -> Column:
+            glyph = F.transform(chars, lambda c, i: F.struct(i.alias("ord"), c.alias("ch"), (F.get(ends, i) - 100).alias("x"), F.lit(100).alias("advance"), F.lit(120).alias("em")))
+            return F.filter(glyph, lambda g: g["ch"] != " ")
+
+        return let(starts(wide, 0), placed)
+
+    return runs(docs).where("text <> ''").select("doc_id", "run_order", let(F.split("text", ""), laid).alias("glyphs"))
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, ord, kind, text): titles, headings, list items and paragraphs of raw HTML, scripts and styles cut out first."""
     clean = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</(script|style)>", "")

@@ -1,11 +1,13 @@
 """Hand-made cases of the document operators, with a wrong variant for the subtle ones."""
 
 import pytest
-from hypothesis import given, settings, strategies as st
+import regex
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids, unicode
-from glyphmill.operators import clustering, joins, layout, measures, pages, search, verdicts
+from glyphmill.operators import clustering, joins, layout, measures, pages, recipes, search, verdicts
+from glyphmill.sources import tables
 
 GLYPH = "line int, ord int, ch string, x double, advance double, em double, font_id int, rise double, visible boolean, fill_color string"
 
@@ -46,9 +48,10 @@ def test_as_of_keeps_a_null_in_the_latest_row(spark):
 
 
 def test_first_range_wins_and_default(spark):
-    rows = spark.createDataFrame([(i,) for i in (0, 5, 10, 11, 99)], "cid int")
-    ranges = spark.createDataFrame([(1, 5, 10, 300), (2, 0, 10, 200)], "ord int, first int, last int, width int")
-    assert {r.cid: r.width for r in joins.range_lookup(rows, ranges, F.col("cid"), 1000).collect()} == {0: 200, 5: 300, 10: 300, 11: 1000, 99: 1000}
+    rows = spark.createDataFrame([("f", i) for i in (0, 5, 10, 11, 99)] + [("g", 5), ("none", 5)], "font string, cid int")
+    ranges = spark.createDataFrame([("f", 1, 5, 10, 300), ("f", 2, 0, 10, 200), ("g", 1, 0, 5, 70)], "font string, ord int, first int, last int, width int")
+    got = {(r.font, r.cid): r.width for r in joins.range_lookup(rows, ranges, ["font"], F.col("cid"), 1000).collect()}
+    assert got == {("f", 0): 200, ("f", 5): 300, ("f", 10): 300, ("f", 11): 1000, ("f", 99): 1000, ("g", 5): 70, ("none", 5): 1000}
 
 
 def test_anchored_fold_is_not_a_chain(spark):
@@ -58,9 +61,25 @@ def test_anchored_fold_is_not_a_chain(spark):
 
 def test_coverage_of_segments(spark):
     def hole_free(segments):
-        return spark.range(1).select(layout.covered(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in segments]), F.lit(0), F.lit(10), 0.5)).first()[0]
+        pieces = F.array_sort(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in segments]))
+        return spark.range(1).select(layout.uncovered(pieces, F.lit(0.0), F.lit(10.0))).first()[0] <= 0.5
 
     assert hole_free([(0, 4), (4.3, 10)]) and not hole_free([(0, 4), (5, 10)]) and hole_free([(0, 9.6)])
+    assert hole_free([(0, 8), (1, 2), (8.2, 12)]) and not hole_free([(1, 10)]) and not hole_free([(0, 3), (9, 12)]) and hole_free([(-5, 20), (11, 12)])
+
+
+def grid(spark, *lines):
+    df = spark.createDataFrame([(1, *map(float, r)) for r in lines], "page int, x double, y double, dx double, dy double")
+    return layout.grids(df, ["page"]).first()
+
+
+def test_grids(spark):
+    box = [(0, 0, 10, 0), (0, 5, 10, 0), (0, 9, 10, 0), (0, 0, 0, 9), (10, 0, 0, 9)]
+    g = grid(spark, *box, (4, 0, 0, 9), (0, 5.2, 10, 0))
+    assert (g.xs, g.ys, g.reason) == ([0, 4, 10], [0, 5, 9], None)
+    assert grid(spark, *box, (4, 0, 0, 4)).reason == "ambiguous-table-grid"
+    assert grid(spark, *box[:3]).reason == "unsupported-table-rulings"
+    assert grid(spark, *[(0, 2 * i, 10, 0) for i in range(70)], (0, 0, 0, 138), (10, 0, 0, 138)).reason == "table-work-limit"
 
 
 def test_coverage_never_sums_areas(spark):
@@ -79,6 +98,11 @@ def test_literal_search(spark):
     assert starts("cat", match_case=True)[0] == [4, 9]
     assert starts("a.b")[1] == [0] and starts("a+b")[1] == [4]
     assert starts("") == [[], [], [], []] and starts("aa")[3] == [0, 2]
+    odd = spark.createDataFrame([("xİİ the end",), ("ẞTHE\U0001f600the",), ("K kelvin k",)], "text string")
+    assert [[(r.start, r.match) for r in search.find_matches(odd.where(F.col("text") == t), "the").collect()] for t in ("xİİ the end", "ẞTHE\U0001f600the")] == [[(4, "the")], [(1, "THE"), (5, "the")]]
+    assert [r.t for r in odd.select(search.replace_all(F.col("text"), "the", "A").alias("t")).collect()] == ["xİİ A end", "ẞA\U0001f600A", "K kelvin k"]
+    many = spark.range(1).select(F.repeat(F.lit("ab,"), 30_000).alias("text"))
+    assert many.select(search.offsets(F.col("text"), "B").alias("o")).first().o == [3 * i + 1 for i in range(30_000)]
     row = search.find_matches(spark.createDataFrame([("x" * 60 + "cat" + "y" * 60,)], "text string"), "cat").first()
     assert row.before == "…" + "x" * 48 and row.after == "y" * 48 + "…"
 
@@ -193,3 +217,78 @@ def test_grids(spark):
     assert got[2][2] == "ambiguous-table-grid" and got[3][2] == "unsupported-table-rulings"
     cells = layout.cells(g, ["page"]).collect()
     assert sorted((r.row, r.col, r.cx0, r.cy0, r.cx1, r.cy1) for r in cells) == [(0, 0, 0, 0, 10, 5), (0, 1, 10, 0, 20, 5), (1, 0, 0, 5, 10, 9), (1, 1, 10, 5, 20, 9)]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.text("ab\U0001f600", max_size=12), st.integers(0, 3)), min_size=1, max_size=20))
+def test_text_verdict_against_all_places(spark, rows):
+    cases = []
+    for text, k in rows:
+        places = [i for i in range(len(text)) if text.startswith("ab", i)]
+        one = [text[:i] + "b" + text[i + 2 :] for i in places]
+        after = {0: one[-1] if one else text, 1: text, 2: text.replace("ab", "b"), 3: text + "b"}[k]
+        cases.append((text, after, "unverifiable" if not places else "replaced" if after in one else "wrong"))
+    df = spark.createDataFrame(cases, "before string, after string, want string")
+    for r in df.select("*", search.text_verdict(F.col("before"), F.col("after"), "ab", F.lit("b")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_recipes_touch_their_own_source_only(spark):
+    runs = spark.createDataFrame([("s", "r1", "a"), ("s", "r2", "b"), ("other", "r1", "c"), ("twice", "r1", "d")], "source string, run_id string, text string")
+    plan = spark.createDataFrame([("s", "r1", "A", True), ("twice", "r1", "X", True), ("twice", "r1", "Y", True)], "source string, run_id string, new_text string, ok boolean")
+    assert {(r.source, r.run_id): r.text for r in recipes.apply(runs, plan).collect()} == {("s", "r1"): "A", ("s", "r2"): "b", ("other", "r1"): "c", ("twice", "r1"): "d"}
+    ops = spark.createDataFrame([("s", 0, "r2", "n"), ("s", 1, "r9", "m"), ("new", 0, "r1", "k")], "source string, pos int, run_id string, new_text string")
+    old = spark.createDataFrame([("s", 4, "r2", "o"), ("other", 0, "r9", "p")], "source string, pos int, run_id string, new_text string")
+    assert {tuple(r) for r in recipes.upsert(old, ops).collect()} == {("s", 4, "r2", "n"), ("other", 0, "r9", "p"), ("s", 5, "r9", "m"), ("new", 0, "r1", "k")}
+
+
+def test_lines_inside_the_row_equal_windows(spark):
+    docs = spark.createDataFrame([(1, "Ab c.  d   ef.\n\n  q zz. x"), (2, None), (3, ""), (4, " "), (5, "one"), (6, "é\U0001f600  a" * 40)], "doc_id long, text string")
+    keys = ["doc_id", "run_order"]
+    rows = clustering.islands(tables.glyphs(docs), keys)
+    want = {tuple(r) for r in clustering.display(rows, [*keys, "island"]).select(*keys, "island", "text", "x0", "x1", "n_glyphs").collect()}
+    got = tables.glyph_lines(docs).select(*keys, F.posexplode(F.transform(clustering.line_islands(F.col("glyphs")), clustering.line_display)).alias("i", "r"))
+    assert {(r.doc_id, r.run_order, r.i + 1, *r.r) for r in got.collect()} == want and want
+    pieces = clustering.fragments(rows, keys, F.col("ch").isin("z", "e")).groupBy(*keys, "island", "fragment").agg(F.bool_and("bad").alias("bad"), F.count("*").alias("n"))
+    cut = F.transform(clustering.line_islands(F.col("glyphs")), lambda i: clustering.line_fragments(i, lambda c: c.isin("z", "e")))
+    inside = tables.glyph_lines(docs).select(*keys, F.posexplode(cut).alias("i", "f")).select(*keys, "i", F.posexplode("f").alias("k", "p"))
+    assert {(r.doc_id, r.run_order, r.i + 1, r.k + 1, *r.p) for r in inside.collect()} == {tuple(r) for r in pieces.collect()}
+
+
+def test_sinks_of_spans_tables_and_formats(spark):
+    schema = "doc int, page int, ord int, kind string, level int, text string, spans array<struct<text: string, bold: boolean, italic: boolean>>, rows array<array<array<struct<text: string, bold: boolean, italic: boolean>>>>"
+    s = lambda t, b=None, i=None: (t, b, i)
+    rows = [
+        (1, 0, 0, "heading", None, "x", [s("A&"), s("b", True, True)], None), (1, 0, 1, "list", None, "x", [s("1"), s(".  one", True), s(" two")], None), (1, 0, 2, "list", None, "* b", None, None),
+        (1, 0, 3, "table", None, None, None, [[[s("h|")], [s("i", None, True)]], [[s("c\nd")], []]]), (1, 1, 0, "paragraph", 3, "it's", None, None), (2, 0, 0, "table", None, None, None, [[[s(" ")]]]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    body = {f: {r.doc: (r.body, r.has_text) for r in layout.export(df, "doc", f).collect()} for f in layout.SINKS}
+    assert body["text"][1] == ("A&b\n1.  one two\n* b\nh|\ti\nc\nd\t\n\f\nit's\n", True) and body["text"][2][1] is False
+    assert body["markdown"][1][0] == "# A&amp;***b***\n\n- **one** two\n\n- b\n\n| h\\| | *i* |\n| --- | --- |\n| c<br>d |  |\n\n\n---\n\nit's\n\n"
+    html = body["html"][1][0].removeprefix(layout.HTML_HEAD).removesuffix(layout.HTML_TAIL)
+    assert html == "<section>\n<h1>A&amp;<em><strong>b</strong></em></h1>\n<ul>\n<li><strong>one</strong> two</li>\n<li>b</li>\n</ul>\n<table><tbody>\n<tr><td>h|</td><td><em>i</em></td></tr>\n<tr><td>c<br>d</td><td></td></tr>\n</tbody></table>\n</section>\n<section>\n<p>it&#x27;s</p>\n</section>\n"
+    with pytest.raises(ValueError):
+        layout.export(df, "doc", "rtf")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("aé\u0301\u0323ß\U0001f600ﬁ \n\r'.Ὰͅ가"), max_size=25), st.sampled_from(["a", "é", "ss", "fi", "a a", "\u0301"]), st.booleans())
+def test_fast_projection_equals_the_one_by_character(text, needle, match_case):
+    shown, low, high = unicode._spans(text, match_case)
+    assert (shown, list(zip(low.tolist(), high.tolist()))) == unicode._spans_by_character(text, match_case)
+    at = [0]
+    for c in shown:
+        at.append(at[-1] + unicode.units(c))
+    words = {0, len(shown), *(m.start() for m in regex.finditer(r"(?w)\b", shown))}
+    want, start, k = [], 0, unicode.project(needle, match_case)[0]
+    while (i := shown.find(k, start)) >= 0:
+        start = i + len(k)
+        if i in words and start in words:
+            want.append((int(min(low[at[i] : at[start]])), int(max(high[at[i] : at[start]]))))
+    assert [m[:2] for m in unicode.find(text, needle, match_case, whole_words=True)] == want
+
+
+def test_pages_rise_through_all_groups(spark):
+    df = spark.createDataFrame([("1-3;5",), ("1-3;3",), ("2;1",), ("1,1",)], "spec string")
+    assert [r.ok for r in df.select(pages.increasing(pages.page_groups(F.col("spec"))).alias("ok")).collect()] == [True, False, False, False]
