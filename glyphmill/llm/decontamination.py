@@ -6,8 +6,10 @@ both sides selected, so joining the two sets of fingerprints misses no shared sp
 fingerprint is extended word by word on both sides, and a span that reaches 13 words is a hit. Items of
 fewer than 13 words have no full window; they are looked up whole, by the hash of all their words.
 
-The benchmark is the stated query set: it goes over the documents in blocks of at most BLOCK_WORDS words, so
-the memory of a task is bounded by one block and one slice of documents, however large either table is.
+A benchmark of at most BLOCK_WORDS words is one block of arrays that goes to all tasks, and the documents meet its
+fingerprints where they lie. For a larger one both sides' fingerprints are joined by a shuffle: the fingerprints
+that match tell which windows of a text to look up among the benchmark's, and only windows that occur remain. Its
+items of fewer than 13 words still go over in blocks. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F, types as T
 
-from glyphmill.llm.common import table, utf8
+from glyphmill.llm.common import dealt_table, materialize, table, utf8
 
 WINDOW, K = 13, 5
 BLOCK_WORDS = 2_000_000
@@ -76,7 +79,7 @@ class Block:
     """Fingerprints of some benchmark items: what a task needs to match documents with them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]):
-        self.names = [name for name, _ in items]
+        self.names, self.sizes = [name for name, _ in items], [len(w) for _, w in items]
         self.vocabulary: dict[bytes, int] = {}
         seq, owner, prints = [np.array([END], np.int64)], [np.array([-1])], []
         at, short = 1, {}
@@ -219,12 +222,116 @@ def overlap_udf(spark: SparkSession, benchmark: DataFrame, block_words: int = BL
 CONTAMINATED = "o.n_hit > 0 AND 20 * o.n_hit >= o.n_words"
 
 
+@F.arrow_udf(T.LongType())
+def n_words_udf(text: pa.Array) -> pa.Array:
+    return pa.array([len(words(t)) for t in utf8(text)], pa.int64())
+
+
+def is_small(benchmark: DataFrame, block_words: int) -> bool:
+    return (benchmark.agg(F.sum(n_words_udf("text"))).first()[0] or 0) <= block_words
+
+
+def _hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    found = words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def _prints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a text's fingerprints."""
+    grams = gram_hashes(ids, K)
+    at = winnow(grams, WINDOW - K + 1)
+    return grams[at].view(np.int64), at
+
+
+def _doc_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (text, _text) -> (text, print), each once."""
+    for b in batches:
+        found = [np.unique(_prints(_hashes(t))[0]) for t in utf8(b.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(f) for f in found])), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["text", "print"])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (item, text) -> (window, print, item) of items with full windows: each window, with a fingerprint inside it."""
+    for b in batches:
+        for item, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            ids = _hashes(text)
+            if len(ids) < WINDOW:
+                continue
+            grams, whole = gram_hashes(ids, K), gram_hashes(ids, WINDOW).view(np.int64)
+            low = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - K + 1).min(1).view(np.int64)
+            rows = np.unique(np.stack([whole, low], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array([item] * len(rows))], ["window", "print", "item"])
+
+
+def _near_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (text, _text, prints) -> (text, pos, window): the windows over places of these prints."""
+    for b in batches:
+        for name, text, known in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
+            ids = _hashes(text)
+            prints, at = _prints(ids)
+            at = at[np.isin(prints, np.array(known, np.int64))]
+            n = len(ids) - WINDOW + 1
+            pos = np.unique((at[:, None] - np.arange(WINDOW - K + 1)).ravel())
+            pos = pos[(pos >= 0) & (pos < n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), name)), pa.array(pos), pa.array(gram_hashes(ids, WINDOW)[pos].view(np.int64))], ["text", "pos", "window"])
+
+
+def _short_hits(blocks: list):
+    """mapInArrow function: (text, _text) -> (text, pos, stop, item) of the places of the blocks' items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                w = words(text)
+                for held in blocks:
+                    block = held.value
+                    ids = np.full(len(w) + WINDOW + 2, END, np.int64)
+                    ids[1 : len(w) + 1] = np.fromiter((block.vocabulary.get(x, 0) for x in w), np.int64, len(w))
+                    marks = np.zeros(len(ids) + 1, np.int32)
+                    for at, item in block.match(ids, marks):
+                        rows += [(name, p - 1, p - 1 + block.sizes[i], block.names[i]) for p, i in zip(at.tolist(), item.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, [pa.int64()] * 3 + [pa.string()], strict=True)], ["text", "pos", "stop", "item"])
+
+    return run
+
+
+def joined_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(text: xxhash64 of the text, n_hit, items) of the texts that hold windows of the benchmark, by a join of fingerprints."""
+    spark = docs.sparkSession
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text"), F.col(text_col).alias("_text"))
+    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    windows = materialize(items.mapInArrow(_item_windows, "window long, print long, item string"), "windows")
+    short = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark.where(n_words_udf("text") < WINDOW), block_words)]
+    with dealt_table(rows.dropDuplicates(["text"]), "text") as texts:
+        met = texts.mapInArrow(_doc_prints, "text long, print long").join(windows.select("print").distinct(), "print", "left_semi")
+        near = texts.join(met.groupBy("text").agg(F.collect_list("print").alias("prints")), "text").select("text", "_text", "prints")
+        near = near.mapInArrow(_near_windows, "text long, pos long, window long")
+        found = materialize(near.join(windows.select("window").distinct(), "window", "left_semi"), "found")
+        few = materialize(texts.mapInArrow(_short_hits(short), "text long, pos long, stop long, item string"), "short") if short else None
+    places = found.select("text", "pos", (F.col("pos") + WINDOW).alias("stop"))
+    named = found.select("text", "window").distinct().join(windows.select("window", "item").distinct(), "window").select("text", "item")
+    if few is not None:
+        places, named = places.union(few.select("text", "pos", "stop")), named.union(few.select("text", "item"))
+    before = F.max("stop").over(W.partitionBy("text").orderBy("pos", "stop").rowsBetween(W.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("pos"), F.coalesce(before, F.lit(0))))
+    hit = places.distinct().withColumn("new", new).groupBy("text").agg(F.sum("new").alias("n_hit"))
+    return hit.join(named.distinct().groupBy("text").agg(F.array_sort(F.collect_list("item")).alias("items")), "text")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated) for every document, repeated rows included.
 
     Null, empty and wordless texts have no words and are clean. An empty benchmark hits nothing. Other columns
     of docs are ignored, whatever their names.
     """
+    if not is_small(benchmark, block_words):
+        per_text = joined_overlaps(docs, benchmark, text_col, block_words).withColumnRenamed("text", "_t")
+        rows = docs.select(F.col(id_col).alias(id_col), F.xxhash64(text_col).alias("_t"), n_words_udf(text_col).alias("n_words")).join(per_text, "_t", "left")
+        n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+        rows = rows.select(id_col, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+        return rows.withColumn("contaminated", F.expr(CONTAMINATED.replace("o.", "")))
     udf = overlap_udf(docs.sparkSession, benchmark, block_words)
     out = docs.select(F.col(id_col).alias("id"), udf(F.col(text_col)).alias("o"))
     return out.select(F.col("id").alias(id_col), "o.n_words", "o.n_hit", F.size("o.items").cast("long").alias("n_items"), "o.items", F.expr(CONTAMINATED).alias("contaminated"))
@@ -236,6 +343,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Null, empty and wordless texts are clean; repeated rows stay or go together; an empty table stays empty, and an
     empty benchmark takes nothing. Other columns go along, whatever their names.
     """
+    if not is_small(benchmark, BLOCK_WORDS):
+        dirty = overlaps(docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("x")), benchmark, "t", "x").where("contaminated").select(F.col("t").alias("_t")).distinct()
+        return docs.select(F.struct("*").alias("d")).join(dirty, F.xxhash64(F.col("d")[text_col]) == F.col("_t"), "left_anti").select("d.*")
     udf = overlap_udf(docs.sparkSession, benchmark)
     whole = docs.select(F.struct("*").alias("d")).withColumn("o", udf(F.col("d")[text_col]))
     return whole.where(f"NOT ({CONTAMINATED})").select("d.*")

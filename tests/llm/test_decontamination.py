@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-
+from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination as dec
 
@@ -49,7 +49,16 @@ def test_against_brute_force(spark):
             parts += v[a : a + rng.randint(1, 40)] + [rng.choice(["q", "rr", "a", "b"]) for _ in range(rng.randint(0, 5))]
         docs.append(rng.choice([" ", "-", "\n"]).join(parts))
     check(spark, docs, items)
-    check(spark, docs, items, block_words=50)
+    check(spark, docs, items, block_words=50)  # by a join of fingerprints
+
+
+def test_a_large_benchmark_in_the_pipeline(spark, monkeypatch):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("_t", F.lit("own"))
+    base = base.unionByName(base.limit(3)).unionByName(base.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in base.dtypes]))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    small = sorted(map(str, dec.drop_contaminated(base, bench).collect()))
+    monkeypatch.setattr(dec, "BLOCK_WORDS", 10)
+    assert sorted(map(str, dec.drop_contaminated(base, bench).collect())) == small and len(small) < base.count()
 
 
 def test_long_document_and_fixture(spark):
