@@ -8,7 +8,7 @@ lie given how many edits may fall before and behind it. A pair that meets is ver
 distance.
 
 Equal lines are one before the join, and the pairs of a key's group are never all made. The lines entered under a
-key are dealt by hash into blocks, each four times as large as the one before, and a round compares one block with
+key are dealt by hash into blocks, each eight times as large as the one before, and a round compares one block with
 the lines that probe the key and are not yet in its class, merges what is linked, and drops the keys whose lines
 are all in one class.
 So each pair is compared or known to be of one class, and a group of variants collapses in the first rounds.
@@ -35,6 +35,8 @@ LONG = 2 * PER_EDIT
 COUNTED, COUNT_BITS = ["eanitrsohdlucmf", "pgwybvk01234567"], 4
 #: Halving steps to what two lines have in common: lines of 2^20 characters and less.
 HALVINGS = 20
+#: The logarithm of how many times as large as the one before a block of entered lines is.
+GROWTH = 3
 #: Rows of a key that are joined in one task; the entered lines are sent to each such part.
 PART_ROWS = 20_000
 
@@ -220,7 +222,7 @@ def met_entries(distinct: DataFrame, t: int) -> DataFrame:
     groups = entered.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n"))
     met = entries.join(groups, "key").where("low < high OR low <> h")
     u = F.shiftrightunsigned(F.xxhash64("h", F.lit("block")), 11) / float(1 << 53) * F.col("n")
-    block = F.when(u < 1, 0).otherwise(F.floor(F.log2(u) / 2) + 1).cast("int")
+    block = F.when(u < 1, 0).otherwise(F.floor(F.log2(u) / GROWTH) + 1).cast("int")
     return met.select("key", "h", "own", F.when(F.col("own"), block).alias("block"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"))
 
 
