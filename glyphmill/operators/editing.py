@@ -68,37 +68,37 @@ def gap_labels(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     return glyphs.withColumn("gap", to - end).withColumn("label", label).where("label IS NOT NULL")
 
 
-STATE = "page long, ord long, op string, char_space double, word_space double, scale double, depth int"
+STATE = "doc long, page long, ord long, op string, char_space double, word_space double, scale double, depth int"
 
 
 def replay_text_state(ops: DataFrame) -> DataFrame:
-    """(page, ord, op, char_space, word_space, scale, depth): the text state at each operator, q and Q nesting it.
+    """(doc, page, ord, op, char_space, word_space, scale, depth): the text state at each operator, q and Q nesting it.
 
-    ops: page, ord, op, operand. A stack is no window, so the rows go page by page through one pass over
-    partitions sorted by page; a page is held by no more than its state.
+    ops: doc, page, ord, op, operand. A stack is no window, so the rows go page by page through one pass over
+    partitions sorted by document and page; a page is held by no more than its state.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, state, stack = None, (0.0, 0.0, 100.0), []
         for b in batches:
             out = []
-            for p, o, op, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if p != page:
-                    page, state, stack = p, (0.0, 0.0, 100.0), []
+            for d, p, o, op, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (d, p) != page:
+                    page, state, stack = (d, p), (0.0, 0.0, 100.0), []
                 if op == "q":
                     stack.append(state)
                 elif op == "Q":
                     state = stack.pop() if stack else state
                 elif op in ("Tc", "Tw", "Tz"):
                     state = tuple(value if n == op else s for n, s in zip(("Tc", "Tw", "Tz"), state, strict=True))
-                out.append((p, o, op, *state, len(stack)))
+                out.append((d, p, o, op, *state, len(stack)))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
                 names = [c.split()[0] for c in STATE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    rows = ops.select(F.col("page").cast("long"), F.col("ord").cast("long"), "op", F.col("operand").cast("double"))
-    return rows.repartition("page").sortWithinPartitions("page", "ord").mapInArrow(run, STATE)
+    rows = ops.select(F.col("doc").cast("long"), F.col("page").cast("long"), F.col("ord").cast("long"), "op", F.col("operand").cast("double"))
+    return rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "ord").mapInArrow(run, STATE)
 
 
 def tree_counts(nodes: DataFrame) -> DataFrame:

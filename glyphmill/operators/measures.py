@@ -34,6 +34,24 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.max_by(F.struct(*sweep.columns), F.struct("f1", -F.col("threshold"))).alias("b")).select("b.*")
 
 
+def tuning(gaps: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the best threshold with its measures, percentiles of the gaps, and how many documents (keys) there are.
+
+    gaps: keys, score, positive (0 or 1). Documents without a positive gap tell nothing and are only counted.
+    """
+    docs = gaps.groupBy(*keys).agg(F.max("positive").alias("_any"))
+    telling = gaps.join(docs.where("_any = 1").select(*keys), keys, "left_semi")
+    best = best_threshold(threshold_sweep(telling, thresholds))
+
+    def rank(positive: int, q: float) -> Column:
+        return F.expr(f"percentile_disc({q}D) WITHIN GROUP (ORDER BY score) FILTER (WHERE positive = {positive})")
+
+    shares = {"negative_p99": (0, 0.99), "negative_p999": (0, 0.999), "positive_p10": (1, 0.1), "positive_p50": (1, 0.5), "positive_p90": (1, 0.9)}
+    ranks = telling.agg(*[rank(*v).alias(k) for k, v in shares.items()], F.sum("positive").alias("n_positive"), F.sum(1 - F.col("positive")).alias("n_negative"))
+    counts = docs.agg(F.count("*").alias("n_documents"), F.sum("_any").alias("n_telling"))
+    return best.crossJoin(F.broadcast(ranks)).crossJoin(F.broadcast(counts))  # one row each
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Percentiles by nearest rank, columns p10 and so on."""
     return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({q}D) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * q)}") for q in shares])
@@ -102,6 +120,18 @@ def merge_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("code").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.when(F.count("*") == F.count("n"), F.sum("n")).alias("total"))
 
 
+#: What a page's warnings mean as facts; any other that speaks of tables is AMBIGUOUS_TABLE.
+WARNING_FACTS = {"columns-inferred-unruled-tables-unsupported": "COLUMN_LAYOUT", "unsupported-text-direction": "UNSUPPORTED_DIRECTION"}
+
+
+def warning_fact(warning: Column) -> Column:
+    """The fact code of a layout warning, or null."""
+    code = F.when(F.lit(False), F.lit(""))
+    for said, fact in WARNING_FACTS.items():
+        code = code.when(warning == said, fact)
+    return code.when(warning.contains("table"), "AMBIGUOUS_TABLE")
+
+
 def multiset_delta(before: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, item, n): items of before less removed plus added, those with n <> 0."""
     signed = before.withColumn("n", F.lit(1)).unionByName(removed.withColumn("n", F.lit(-1))).unionByName(added.withColumn("n", F.lit(1)))

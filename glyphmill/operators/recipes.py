@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids
@@ -45,6 +45,34 @@ def apply(runs: DataFrame, plan: DataFrame) -> DataFrame:
     return runs.join(good.select("source", "run_id", "new_text"), ["source", "run_id"], "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
 
 
+def build(runs: DataFrame, matches: DataFrame, prior: DataFrame, replacement: str) -> DataFrame:
+    """(source, run_id, before, after, n, reason): the operations that put replacement in the place of selected matches.
+
+    runs: source, run_id, text; matches: source, run_id, start, end, match, replaceable; prior: the recipe so far
+    (source, run_id, new_text), on whose text a run's matches must lie. Runs that nothing changes have no row. reason
+    is stale where a match is not what the text holds at its place, or overlaps the one before; after is then null.
+    """
+    keys = ["source", "run_id"]
+    chosen = matches.where("replaceable").where(F.col("match") != F.lit(replacement))
+    spans = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("_m"))
+    based = spans.join(runs, keys).join(prior.select(*keys, "new_text"), keys, "left").withColumn("before", F.coalesce("new_text", "text"))
+    text, m = F.col("before"), F.col("_m")
+
+    def fits(v: Column, i: Column) -> Column:
+        after_last = F.coalesce(v["start"] >= F.get(m, i - 1)["end"], F.lit(True))
+        return after_last & (v["start"] >= 0) & (v["end"] <= F.length(text)) & (text.substr(v["start"] + 1, v["end"] - v["start"]) == v["match"])
+
+    def piece(v: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        return F.concat(text.substr(last + 1, v["start"] - last), F.lit(replacement))
+
+    ok = F.forall(F.transform(m, fits), lambda b: b)
+    end = F.element_at(m, -1)["end"]
+    after = F.concat(F.array_join(F.transform(m, piece), ""), text.substr(end + 1, F.length(text)))
+    made = based.select(*keys, "before", F.when(ok, after).alias("after"), F.size("_m").alias("n"), F.when(~ok, "stale").alias("reason"))
+    return made.where("after IS NULL OR after <> before")
+
+
 def upsert(recipe: DataFrame, ops: DataFrame) -> DataFrame:
     """(source, pos, run_id, new_text): an operation on a known run takes that one's place, a new one goes to the end."""
     keys = ["source", "run_id"]

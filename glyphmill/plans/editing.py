@@ -130,5 +130,5 @@ def encoding_overlay(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def text_state_replay(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("q", "Tc", "Tw", "Tz", "Q", "Tj"))), (F.col("l_partkey") % 6 + 1).cast("int"))
-    ops = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), kind.alias("op"), F.col("l_quantity").alias("operand"))
+    ops = table(spark, d, "lineitem").select((F.col("l_orderkey") % 7).alias("doc"), (F.col("l_orderkey") % 100).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), kind.alias("op"), F.col("l_quantity").alias("operand"))
     return editing.replay_text_state(ops)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids, text as textual
-from glyphmill.operators import clustering, evidence
+from glyphmill.operators import clustering, evidence, layout, measures, recipes, search
 from glyphmill.plans.registry import query
 from glyphmill.sources import pdf
-from glyphmill.sources.tables import table
+from glyphmill.sources.tables import runs, table
 
 #: Order lines as located glyphs on pages of 40 orders: in four directions, some of no length, on close baselines.
 _GLYPHS = {
@@ -148,6 +148,67 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("path").cast("long").alias("p_partkey"), "text", "brand", "last_x", "rulings")
 
 
+@query("""WITH r AS (SELECT doc_id AS source, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS text FROM documents),
+b AS (SELECT source, n, CASE WHEN n % 5 = 2 THEN 'in the end ' || text ELSE text END AS before FROM r), k AS (SELECT *, n % 7 = 3 AS stale, n % 4 <> 1 AS replaceable FROM b WHERE regexp_matches(before, '[tT][hH][eE]'))
+SELECT source, 'r' || n AS run_id, before, CASE WHEN NOT stale THEN regexp_replace(before, '[tT][hH][eE]', 'A', 'g') END AS after, CAST((length(before) - length(regexp_replace(before, '[tT][hH][eE]', '', 'g'))) / 3 AS INTEGER) AS n, CASE WHEN stale THEN 'stale' END AS reason FROM k WHERE replaceable""")
+def recipe_build(spark: SparkSession, d: str) -> DataFrame:
+    rows = runs(table(spark, d, "documents")).withColumnRenamed("doc_id", "source").withColumn("run_id", F.concat(F.lit("r"), F.col("run_order")))
+    prior = rows.where("run_order % 5 = 2").select("source", "run_id", F.concat(F.lit("in the end "), "text").alias("new_text"))
+    current = rows.withColumn("text", F.when(F.col("run_order") % 5 == 2, F.concat(F.lit("in the end "), "text")).otherwise(F.col("text")))
+    found = search.find_matches(current, "the")
+    matches = found.select("source", "run_id", "start", "end", F.when(F.col("run_order") % 7 == 3, "gone").otherwise(F.col("match")).alias("match"), (F.col("run_order") % 4 != 1).alias("replaceable"))
+    return recipes.build(rows.select("source", "run_id", "text"), matches, prior, "A")
+
+
+@query("""WITH g AS (SELECT o_custkey AS doc, CAST(l_quantity AS BIGINT) AS score, CASE WHEN l_quantity > 30 AND o_custkey % 4 <> 0 THEN 1 WHEN l_linenumber = 5 AND o_custkey % 4 <> 0 THEN 1 ELSE 0 END AS positive FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT doc, max(positive) AS has FROM g GROUP BY doc), t AS (SELECT g.* FROM g JOIN a USING (doc) WHERE has = 1), k AS (SELECT unnest(range(0, 50, 5)) AS threshold),
+c AS (SELECT threshold, sum(CASE WHEN score > threshold THEN positive ELSE 0 END) AS tp, sum(CASE WHEN score > threshold THEN 1 - positive ELSE 0 END) AS fp, sum(positive) AS p FROM k, t GROUP BY threshold),
+b AS (SELECT threshold, round(2 * tp / (2 * tp + fp + p - tp), 9) AS f1 FROM c ORDER BY 2 * tp / (2 * tp + fp + p - tp) DESC, threshold LIMIT 1),
+n AS (SELECT quantile_disc(score, 0.99) AS negative_p99, quantile_disc(score, 0.999) AS negative_p999 FROM t WHERE positive = 0), q AS (SELECT quantile_disc(score, 0.1) AS positive_p10, quantile_disc(score, 0.5) AS positive_p50, quantile_disc(score, 0.9) AS positive_p90 FROM t WHERE positive = 1)
+SELECT b.*, n.*, q.*, (SELECT count(*) FROM t WHERE positive = 1) AS n_positive, (SELECT count(*) FROM t WHERE positive = 0) AS n_negative, (SELECT count(*) FROM a) AS n_documents, (SELECT CAST(sum(has) AS BIGINT) FROM a) AS n_telling FROM b, n, q""")
+def threshold_tuning(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("long").alias("score"), "l_linenumber")
+    joined = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("doc")), "o_orderkey")
+    gaps = joined.select("doc", "score", F.when((F.col("doc") % 4 != 0) & ((F.col("score") > 30) | (F.col("l_linenumber") == 5)), 1).otherwise(0).alias("positive"))
+    out = measures.tuning(gaps, spark.range(0, 50, 5).withColumnRenamed("id", "threshold"), ["doc"])
+    return out.select("threshold", F.round("f1", 9).alias("f1"), *[F.col(c).cast("long").alias(c) for c in ("negative_p99", "negative_p999", "positive_p10", "positive_p50", "positive_p90")], "n_positive", "n_negative", "n_documents", "n_telling")
+
+
+@query("""SELECT CASE event_type WHEN 'view' THEN 'COLUMN_LAYOUT' WHEN 'click' THEN 'UNSUPPORTED_DIRECTION' WHEN 'purchase' THEN 'AMBIGUOUS_TABLE' END AS code, count(*) AS n FROM events GROUP BY 1""")
+def layout_warnings(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("event_type") == "view", "columns-inferred-unruled-tables-unsupported").when(F.col("event_type") == "click", "unsupported-text-direction").when(F.col("event_type") == "purchase", "ambiguous-table-grid").otherwise("other")
+    return table(spark, d, "events").groupBy(measures.warning_fact(said).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity AS em, CAST(l_suppkey * 3 AS DOUBLE) AS y, CAST(l_partkey AS DOUBLE) AS x, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS ord FROM lineitem),
+s AS (SELECT *, CASE WHEN coalesce(abs(y - lag(y) OVER w) * 100 >= 20 * em, true) THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY l_orderkey ORDER BY y, x, ord))
+SELECT l_orderkey, l_linenumber, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY y, x, ord) AS BIGINT) AS band FROM s""")
+def baseline_bands(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity AS em", "CAST(l_suppkey * 3 AS DOUBLE) AS y", "CAST(l_partkey AS DOUBLE) AS x", "l_linenumber * 1000000 + l_partkey * 100 + l_suppkey AS ord")
+    return clustering.bands(rows, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "band")
+
+
+@query("""WITH s AS (SELECT l_orderkey, CAST(l_partkey % 80 AS DOUBLE) AS a, CAST(l_partkey % 80 + l_quantity AS DOUBLE) AS b FROM lineitem),
+e AS (SELECT *, greatest(10, coalesce(max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10)) AS reached FROM s),
+h AS (SELECT l_orderkey, greatest(max(least(a, 60) - reached), 60 - greatest(10, max(b)), 0) AS hole FROM e GROUP BY 1)
+SELECT l_orderkey, hole <= 5 AS covered FROM h""")
+def segment_coverage(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("l_partkey") % 80).cast("double")
+    pieces = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(at.alias("a"), (at + F.col("l_quantity")).cast("double").alias("b")))).alias("p"))
+    return pieces.select("l_orderkey", (layout.uncovered(F.col("p"), F.lit(10.0), F.lit(60.0)) <= 5).alias("covered"))
+
+
+@query("""SELECT p_brand AS face, list_sort(list(DISTINCT p_type)) AS names FROM part GROUP BY 1""")
+def face_glyph_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("face")).agg(F.array_sort(F.collect_set("p_type")).alias("names"))
+
+
+@query("""SELECT count(*) AS n, count(*) >= 100 AS enough FROM (SELECT sha256(text) FROM documents GROUP BY 1)""")
+def corpus_floor(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).distinct()
+    return files.agg(F.count("*").alias("n")).select("n", (F.col("n") >= 100).alias("enough"))
+
+
 PAGES_SQL = "SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS page, o_orderkey FROM orders"
 
 
