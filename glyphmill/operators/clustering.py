@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids
-from glyphmill.functions.arrays import let
 
 # Fixed values, in hundredths of an em: a gap above BREAK or below OVERLAP ends a run, one above SPACE reads as a space.
 SPACE, BREAK, OVERLAP = 10, 33, -20
@@ -116,45 +113,6 @@ def cluster_page(glyphs: DataFrame) -> DataFrame:
     return found.select("source_hash", "page", "xobj_path", "part", run_id.alias("run_id"), "g_start", "g_end", "text", "n_glyphs", "editable", "em")
 
 
-def line_islands(glyphs: Column) -> Column:
-    """The islands of one line's glyphs: an array of arrays of them, each glyph with gap and spaced.
-
-    glyphs: an array of structs (ord, ch, x, advance, em) in the order of x and ord, of one font, size and style.
-    What islands() finds by windows over rows, without moving a row: lines come whole from a text, while glyphs
-    that a page's operators show in any order go through islands().
-    """
-    return let(glyphs, lambda g: let(F.transform(g, lambda v, i: F.when(i > 0, v["x"] - F.get(g, i - 1)["x"] - F.get(g, i - 1)["advance"])), lambda gaps: _cut_islands(g, gaps)))
-
-
-def _cut_islands(g: Column, gaps: Column) -> Column:
-    def breaks(i: Column) -> Column:
-        gap, em = F.get(gaps, i) * 100, F.get(g, i)["em"]
-        return F.coalesce((gap > F.lit(BREAK) * em) | (gap < F.lit(OVERLAP) * em), F.lit(True))
-
-    def glyph(v: Column, i: Column) -> Column:
-        return F.struct(v["ord"].alias("ord"), v["ch"].alias("ch"), v["x"].alias("x"), v["advance"].alias("advance"), F.get(gaps, i).alias("gap"), (~breaks(i) & (F.get(gaps, i) * 100 > F.lit(SPACE) * v["em"])).alias("spaced"))
-
-    firsts = F.filter(F.transform(g, lambda v, i: F.when(breaks(i), i)), lambda i: i.isNotNull())
-    return let(F.transform(g, glyph), lambda marked: pieces(marked, firsts))
-
-
-def pieces(values: Column, firsts: Column) -> Column:
-    """An array cut before each of the places `firsts` (from 0, the first of them 0)."""
-    return let(firsts, lambda at: F.transform(at, lambda a, k: F.slice(values, a + 1, F.coalesce(F.get(at, k + 1), F.size(values)) - a)))
-
-
-def line_display(island: Column) -> Column:
-    """(text, x0, x1, n_glyphs) of one of line_islands()."""
-    text = F.array_join(F.transform(island, lambda v, i: F.concat(F.when((i > 0) & v["spaced"], " ").otherwise(""), F.coalesce(v["ch"], F.lit("")))), "")
-    return F.struct(text.alias("text"), island[0]["x"].alias("x0"), F.array_max(F.transform(island, lambda v: v["x"] + v["advance"])).alias("x1"), F.size(island).cast("long").alias("n_glyphs"))
-
-
-def line_fragments(island: Column, bad: Callable[[Column], Column]) -> Column:
-    """The fragments of one of line_islands(): (bad, n_glyphs) each; each bad glyph is alone."""
-    marks = F.transform(island, lambda v: bad(v["ch"]))
-    return let(marks, lambda m: F.transform(pieces(m, F.filter(F.transform(m, lambda b, i: F.when((i == 0) | b | F.coalesce(F.get(m, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())), lambda f: F.struct(f[0].alias("bad"), F.size(f).cast("long").alias("n_glyphs"))))
-
-
 def gap_islands(rows: DataFrame, keys: list[str], order: list[str], at: Column, most: int) -> DataFrame:
     """rows with island: a new one where `at` is more than `most` after the row before."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -93,7 +93,7 @@ def preview(candidates: DataFrame, resolve: Callable[[DataFrame], DataFrame], ro
         n = refused.count()
         if not n:
             return candidates
-        left = candidates.join(refused, "run_id", "left_anti")
+        left = candidates.join(refused, "run_id", "left_anti").checkpoint()  # else each round's plan holds those before twice
         if left.count() >= candidates.count():
             raise ValueError("a refused run is not among the candidates")
         candidates = left

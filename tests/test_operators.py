@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import run_ids, unicode
 from glyphmill.operators import clustering, joins, layout, measures, pages, recipes, search, verdicts
-from glyphmill.sources import tables
 
 GLYPH = "line int, ord int, ch string, x double, advance double, em double, font_id int, rise double, visible boolean, fill_color string"
 
@@ -242,19 +241,6 @@ def test_recipes_touch_their_own_source_only(spark):
     assert {tuple(r) for r in recipes.upsert(old, ops).collect()} == {("s", 4, "r2", "n"), ("other", 0, "r9", "p"), ("s", 5, "r9", "m"), ("new", 0, "r1", "k")}
 
 
-def test_lines_inside_the_row_equal_windows(spark):
-    docs = spark.createDataFrame([(1, "Ab c.  d   ef.\n\n  q zz. x"), (2, None), (3, ""), (4, " "), (5, "one"), (6, "é\U0001f600  a" * 40)], "doc_id long, text string")
-    keys = ["doc_id", "run_order"]
-    rows = clustering.islands(tables.glyphs(docs), keys)
-    want = {tuple(r) for r in clustering.display(rows, [*keys, "island"]).select(*keys, "island", "text", "x0", "x1", "n_glyphs").collect()}
-    got = tables.glyph_lines(docs).select(*keys, F.posexplode(F.transform(clustering.line_islands(F.col("glyphs")), clustering.line_display)).alias("i", "r"))
-    assert {(r.doc_id, r.run_order, r.i + 1, *r.r) for r in got.collect()} == want and want
-    pieces = clustering.fragments(rows, keys, F.col("ch").isin("z", "e")).groupBy(*keys, "island", "fragment").agg(F.bool_and("bad").alias("bad"), F.count("*").alias("n"))
-    cut = F.transform(clustering.line_islands(F.col("glyphs")), lambda i: clustering.line_fragments(i, lambda c: c.isin("z", "e")))
-    inside = tables.glyph_lines(docs).select(*keys, F.posexplode(cut).alias("i", "f")).select(*keys, "i", F.posexplode("f").alias("k", "p"))
-    assert {(r.doc_id, r.run_order, r.i + 1, r.k + 1, *r.p) for r in inside.collect()} == {tuple(r) for r in pieces.collect()}
-
-
 def test_sinks_of_spans_tables_and_formats(spark):
     schema = "doc int, page int, ord int, kind string, level int, text string, spans array<struct<text: string, bold: boolean, italic: boolean>>, rows array<array<array<struct<text: string, bold: boolean, italic: boolean>>>>"
     s = lambda t, b=None, i=None: (t, b, i)
