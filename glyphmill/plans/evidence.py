@@ -144,6 +144,7 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
         return F.array_join(F.transform(said, lambda g: g["ch"]), "")
 
     last = F.max_by(F.when(F.col("y") == 300, F.col("x")), F.when(F.col("y") == 300, F.col("ord")))
+    files = files.repartition(spark.sparkContext.defaultParallelism, "path")  # parsing is what costs, and the rows come from one file
     out = pdf.scan(files).groupBy("path").agg(shown(300.0).alias("text"), shown(280.0).alias("brand"), last.alias("last_x"), F.count_if(F.col("kind") == "ruling").alias("rulings"))
     return out.select(F.col("path").cast("long").alias("p_partkey"), "text", "brand", "last_x", "rulings")
 
