@@ -13,7 +13,7 @@ from glyphmill.sources.tables import runs, table
 
 #: Order lines as located glyphs on pages of 40 orders: in four directions, some of no length, on close baselines.
 _GLYPHS = {
-    "source_hash": "sha256('doc')", "page": "CAST(l_orderkey // 40 AS BIGINT)", "part": "CAST(l_partkey % 2 AS BIGINT)", "ord": "l_orderkey * 100 + l_linenumber * 10 + l_quantity / 100.0", "op_offset": "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)",
+    "source_hash": "sha256('doc')", "page": "CAST(l_orderkey // 40 AS BIGINT)", "part": "CAST(l_partkey % 2 AS BIGINT)", "ord": "((l_orderkey % 40) * 10 + l_linenumber) * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT)", "op_offset": "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)",
     "ch": "chr(97 + CAST(l_partkey % 26 AS INTEGER))", "x": "CAST(l_suppkey % 40 AS DOUBLE) * 2.5", "y": "CAST(l_partkey % 7 AS DOUBLE) * 1.25", "dir_x": "CAST([1, 0, -1, 0][1 + l_linenumber % 4] AS DOUBLE)", "dir_y": "CAST([0, 2, 0, 0][1 + l_linenumber % 4] AS DOUBLE)",
     "em": "CASE WHEN l_quantity = 7 THEN 13.0::DOUBLE ELSE 12.0::DOUBLE END", "font_id": "CASE WHEN l_quantity % 11 = 0 THEN 'B' ELSE 'A' END", "visible": "l_quantity % 13 <> 0", "fill_color": "CASE WHEN l_quantity % 17 = 0 THEN '1' ELSE '0' END", "rise": "CASE WHEN l_quantity % 19 = 0 THEN 7.0::DOUBLE ELSE 0.0::DOUBLE END", "editable": "l_quantity % 9 <> 0",
 }
